@@ -16,6 +16,7 @@ text when there is nothing to learn from; equal scores go to the language that s
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoal.llm import scratch
+
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 ROWS_PER_LANG, WORDS_PER_LANG, ROUNDS = 1500, 20_000, 3
 UNKNOWN = "und"
@@ -214,8 +217,8 @@ class _Scorer:
         if not langs:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         pred, conf = [], []
-        for group in _bounded(texts):
-            split = [(t or "").split() for t in group]
+        for group in scratch.bounded(texts, len):
+            split = [t.split() for t in group]
             self._learn(set().union(*split))
             ends = np.cumsum([0] + [len(x) for x in split])
             at = np.fromiter((k for x in split for k in map(self.row.__getitem__, x)), np.int64, ends[-1])
@@ -234,35 +237,23 @@ class _Scorer:
         return pred, conf
 
 
-def _bounded(texts: list[str | None], chars: int = 2_000_000):
-    """Groups of texts of about so many characters; a longer text is a group of its own."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t or "") + 1
-        if size >= chars:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
-_WORKER: dict[int, _Scorer] = {}
+_WORKER: dict[str, _Scorer] = {}
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, plus lang_pred and score: the posterior probability of that language, from 0 to 1."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # vocabulary x languages: bounded by the public vocabulary
+    token = uuid.uuid4().hex
     keep = [c for c in docs.columns if c != text_col]
     slim = docs.select(*keep, F.col(text_col))
     schema = ", ".join([f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double"])
 
     def run(batches):
-        scorer = _WORKER.get(shared.id)
+        scorer = _WORKER.get(token)
         if scorer is None:
             _WORKER.clear()
-            scorer = _WORKER[shared.id] = _Scorer(shared.value)
+            scorer = _WORKER[token] = _Scorer(shared.value)
         for b in batches:
             pred, conf = scorer.score(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(conf, pa.float64())], [*keep, "lang_pred", "score"])

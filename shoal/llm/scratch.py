@@ -44,3 +44,17 @@ def drop(df: DataFrame) -> None:
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def bounded(texts, size, limit: int = 2_000_000):
+    """Groups of texts (null: empty) of about ``limit`` in all; a longer text is a group of its own."""
+    group, total = [], 0
+    for t in texts:
+        t = t or ""
+        if group and total + size(t) > limit:
+            yield group
+            group, total = [], 0
+        group.append(t)
+        total += size(t) + 1
+    if group:
+        yield group
