@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import bytesplit, scratch
+from shoal.llm.inttable import IntTable
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 _NONE = np.int64(1) << 40
@@ -48,44 +49,13 @@ class Ranks:
                 if a is not None and b is not None:
                     pairs[a << 20 | b] = r
         keys = np.array(sorted(pairs), dtype=np.int64)
-        self.bits = int(np.ceil(np.log2(len(keys) + 1))) + 3
-        self._table(keys, np.array([pairs[k] for k in keys.tolist()], dtype=np.int64))
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def _table(self, keys: np.ndarray, ranks: np.ndarray) -> None:
-        """Open addressing with linear probing, filled a probe at a time."""
-        self.key = np.full((1 << self.bits) + 64, -1, np.int64)
-        self.rank = np.full(len(self.key), _NONE, np.int64)
-        at, self.probes = self._slot(keys), 0
-        while len(keys):
-            self.probes += 1
-            free = self.key[at] < 0
-            _, first = np.unique(at, return_index=True)
-            put = np.zeros(len(at), bool)
-            put[first] = True
-            put &= free
-            self.key[at[put]], self.rank[at[put]] = keys[put], ranks[put]
-            keys, ranks, at = keys[~put], ranks[~put], at[~put] + 1
-        assert self.probes < 64
+        self.pairs = IntTable()
+        self.pairs.insert(keys, np.array([pairs[k] for k in keys.tolist()], dtype=np.int64))
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of the token that two ids make, or _NONE; a negative id is no neighbour."""
-        key = a << 20 | b
-        at = self._slot(np.maximum(key, 0))
-        out = np.full(len(key), _NONE, np.int64)
-        todo = np.flatnonzero((a >= 0) & (b >= 0))
-        at = at[todo]
-        for _ in range(self.probes):
-            if not len(todo):
-                break
-            found = self.key[at]
-            hit = found == key[todo]
-            out[todo[hit]] = self.rank[at[hit]]
-            more = ~hit & (found >= 0)
-            todo, at = todo[more], at[more] + 1
-        return out
+        rank = self.pairs.get(np.where((a >= 0) & (b >= 0), a << 20 | b, -1))
+        return np.where(rank < 0, _NONE, rank)
 
 
 def merge_all(pieces: list[bytes], ranks: Ranks) -> list[bytes]:

@@ -6,8 +6,8 @@ it, and "may stand after" is a property of two tokens. After some bytes only the
 the bytes so far are the beginning of a vocabulary entry matter to what follows. So a *state* is the
 text since the earliest such start with, for each start, its last token and its count relative to the
 earliest; a transition on a byte emits the tokens that no later byte can change any more, and the end
-of a piece emits the rest. States and transitions are compiled when first met, into dense tables, and
-shared by all later texts of the worker.
+of a piece emits the rest. States and transitions are compiled when first met, into a table, and
+shared by all later texts of the worker (up to a bound, then begun again).
 
 A text is read in chunks. A unit (see ``bytesplit``) starts and ends in the start state, whatever
 stands around it, so its map is one count; a very long piece is cut into chunks whose maps take an
@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import bytesplit, scratch
+from shoal.llm.inttable import IntTable
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LIMIT, _CHUNK, _WARM = 512, 1024, 128
-_STATES, _UNITS = 1 << 16, 500_000
+_STATES, _UNITS = 500_000, 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -64,9 +65,8 @@ class Transducer:
     def _clear(self) -> None:
         self.states: list[tuple[bytes, tuple]] = [(b"", ((0, -1, 0),))]
         self.number = {self.states[0]: 0}
-        self.next = np.full((1024, 256), -1, np.int32)
-        self.emit = np.zeros((1024, 256), np.int16)
-        self.last = np.zeros(1024, np.int64)
+        self.moves = IntTable()  # state << 8 | byte -> target << 8 | tokens emitted (may be negative) + 128
+        self.last = np.zeros(1024, np.int64)  # tokens that the end emits
 
     def _encode(self, raw: bytes) -> list[int]:
         """Plain BPE of a short string, to decide whether two tokens may be neighbours."""
@@ -85,8 +85,8 @@ class Transducer:
             self.fits[left, t] = self._encode(b"".join(self.token[k] for k in both)) == both
         return self.fits[left, t]
 
-    def _compile(self, state: int, byte: int) -> None:
-        """Fill in one transition; makes its target state if that is new."""
+    def _compile(self, state: int, byte: int) -> int:
+        """One transition's value; makes its target state if that is new."""
         text, starts = self.states[state]
         text += bytes([byte])
         n, live, end = len(text), [], None
@@ -104,12 +104,12 @@ class Transducer:
         if target is None:
             target = self.number[key] = len(self.states)
             self.states.append(key)
-            if target >= len(self.next):
-                self.next = np.vstack([self.next, np.full_like(self.next, -1)])
-                self.emit = np.vstack([self.emit, np.zeros_like(self.emit)])
+            if target >= len(self.last):
                 self.last = np.concatenate([self.last, np.zeros_like(self.last)])
             self.last[target] = key[1][-1][2]
-        self.next[state, byte], self.emit[state, byte] = target, base
+        if not -128 <= base < 128:
+            raise ValueError("a token of the vocabulary is too long")
+        return target << 8 | base + 128
 
     def run(self, lanes: list[bytes], entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Read all lanes in step, from their entry states -> exit states, tokens emitted."""
@@ -121,14 +121,14 @@ class Transducer:
         state, count = entry[order].astype(np.int64), np.zeros(len(lanes), np.int64)
         for k in range(int(sizes[0]) if len(sizes) else 0):
             m = int(np.searchsorted(-sizes, -k, side="left"))  # lanes longer than k
-            byte, own = flat[begin[:m] + k], state[:m]
-            to = self.next[own, byte]
+            key = state[:m] << 8 | flat[begin[:m] + k]
+            to = self.moves.get(key)
             if (to < 0).any():
-                for pair in np.unique((own << 8 | byte)[to < 0]).tolist():
-                    self._compile(pair >> 8, pair & 255)
-                to = self.next[own, byte]
-            count[:m] += self.emit[own, byte]
-            state[:m] = to
+                new = np.unique(key[to < 0])
+                self.moves.insert(new, np.array([self._compile(x >> 8, x & 255) for x in new.tolist()], np.int64))
+                to = self.moves.get(key)
+            count[:m] += (to & 255) - 128
+            state[:m] = to >> 8
         back_state, back_count = np.empty_like(state), np.empty_like(count)
         back_state[order], back_count[order] = state, count
         return back_state, back_count
