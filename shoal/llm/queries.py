@@ -41,6 +41,51 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, -1, whose texts are control strings, formatted and read back."""
+    from shoal.llm import chat
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, k, r, "</s>[INST] ok [/INST]") for k, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm import bpe
+
+    return bpe.digests(_table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the pages as WARC archives, index them, and read every capture back through the index."""
+    from shoal.llm import scratch, warc
+
+    path = scratch.new_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    index = warc.CaptureIndex.build(spark, path, scratch.new_path(spark, "cdx"))
+    return index.read_all().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm import tokencount
+
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those whose crc32(doc_id) mod 5 is not 1."""
+    from shoal.llm import logbilinear
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    return logbilinear.score(_table(spark, sf_dir, "documents"), held_out)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -48,10 +93,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_chat_format": op7_chat_format,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_warc": op9_warc,
+    "op10_token_counts": op10_token_counts,
     "pipeline": pipeline,
 }
 
