@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.llm import scratch
@@ -156,7 +156,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     rows = docs.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.pmod(F.xxhash64(id_col), F.lit(1_000_000)).alias("_h"))
     rows = rows.where("_lang is not null and _text is not null")
     sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(sizes, "_lang").where(F.col("_h") * F.col("_n") < 1_000_000 * rows_per_lang).select("_lang", "_text")
+    # one row a language
+    rows = rows.join(F.broadcast(sizes), "_lang").where(F.col("_h") * F.col("_n") < 1_000_000 * rows_per_lang).select("_lang", "_text")
 
     def count(batches):
         for b in batches:
@@ -173,11 +174,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
 
     words = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    per = words.groupBy("lang").agg(F.count(F.lit(1)).alias("distinct"), F.max("n").alias("most"))
-    counts: dict[str, dict[str, float]] = {r["lang"]: {} for r in per.collect()}
-    for lang in counts:
-        for r in words.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(WORDS_PER_LANG).collect():
-            counts[lang][r["word"]] = float(r["n"])
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")  # of the bounded sample's words
+    words = words.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= WORDS_PER_LANG)
+    counts: dict[str, dict[str, float]] = {}
+    for lang, word, n in words.select("lang", "word", "n").collect():
+        counts.setdefault(lang, {})[word] = float(n)
     return train({k: v for k, v in counts.items() if v}, Pieces(vocabulary))
 
 
