@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import numbers, text
+from shoal.session import cut
 
 NEAR_DUPLICATE = 0.90
 PARTS = ["palette", "brightness", "saturation", "contrast", "warmth", "hue_spread", "quality", "vertical"]
@@ -67,32 +68,31 @@ def video_target(count: int, ratio: float) -> int:
 def greedy_diverse(scored: DataFrame, count: int, diversity: float = 0.55, ratio: float = 0.35, by: str = "preset") -> DataFrame:
     """Ordered selection of ``count`` per group: score less a penalty for likeness to what is chosen.
 
-    The loop runs on all groups in step: each step keeps a running maximum of likeness per candidate,
-    so it does count * n comparisons, not count^2 * n.
+    The loop runs on all groups in step: each step keeps a running maximum of likeness per candidate, so
+    it does count * n comparisons, not count^2 * n. A step is an aggregate with map-side combining and a
+    join with one row per group; its result is checkpointed, so that plans stay short.
     """
     target = video_target(count, ratio)
-    base = scored.withColumns({"worst": F.lit(0.0), "taken": F.lit(0), "videos": F.lit(0)})
-    w = Window.partitionBy(by)
+    keep = [by, "path", "labs", "folder", "mtime", "stem", "kind", "score"]
+    base = cut(scored.select(*keep, F.lit(0.0).alias("worst"), F.lit(0).alias("taken"), F.lit(0).alias("videos")))
     chosen = []
     for step in range(count):
         needed = F.greatest(F.lit(0), F.lit(target) - F.col("videos"))
         slots = count - step
         nudge = F.when(F.col("kind") == "video", 0.12 * numbers.clamp(needed / slots)).when(needed >= slots, -0.10).otherwise(0.0)
         value = F.col("score") - numbers.diversity_penalty(F.col("worst"), diversity) + nudge
-        key = F.struct(F.when(F.col("worst") < NEAR_DUPLICATE, 1).otherwise(0).alias("fresh"), value.alias("value"), F.col("score").alias("s"), F.col("order").alias("o"))
-        if step == 0:
-            base = base.withColumn("order", -F.row_number().over(w.orderBy(F.desc("score"), "path")))
-        best = base.where("taken = 0").groupBy(by).agg(F.max_by(F.struct("path", "labs", "folder", "mtime", "stem", "kind", "score"), key).alias("pick"))
-        chosen.append(best.select(by, F.lit(step + 1).alias("place"), F.col("pick.path").alias("path"), F.col("pick.score").alias("score")))
+        key = F.struct(F.when(F.col("worst") < NEAR_DUPLICATE, 0).otherwise(1).alias("f"), (-value).alias("v"), (-F.col("score")).alias("s"), F.col("path").alias("p"))
+        best = base.where("taken = 0").groupBy(by).agg(F.min_by(F.struct(*keep[1:]), key).alias("pick")).select(by, "pick.*")
+        best = cut(best)
+        chosen.append(best.select(by, F.lit(step + 1).alias("place"), "path", "score"))
         if step + 1 < count:
-            a, b = base.alias("a"), best.select(by, "pick.*").alias("b")
-            joined = a.join(b, F.col(f"a.{by}") == F.col(f"b.{by}"), "left")
-            base = joined.select(
-                *[F.col(f"a.{c}") for c in base.columns if c not in ("worst", "taken", "videos")],
-                F.greatest(F.col("a.worst"), F.coalesce(similarity("a", "b"), F.lit(0.0))).alias("worst"),
-                F.when(F.col("a.path") == F.col("b.path"), 1).otherwise(F.col("a.taken")).alias("taken"),
-                (F.col("a.videos") + F.when(F.col("b.kind") == "video", 1).otherwise(0)).alias("videos"),
-            )
+            joined = base.alias("x").join(best.alias("y"), F.col(f"x.{by}") == F.col(f"y.{by}"))
+            base = cut(joined.select(
+                *[F.col(f"x.{c}") for c in keep],
+                F.greatest(F.col("x.worst"), similarity("x", "y")).alias("worst"),
+                F.when(F.col("x.path") == F.col("y.path"), 1).otherwise(F.col("x.taken")).alias("taken"),
+                (F.col("x.videos") + F.when(F.col("y.kind") == "video", 1).otherwise(0)).alias("videos"),
+            ))
     out = chosen[0]
     for c in chosen[1:]:
         out = out.unionByName(c)
