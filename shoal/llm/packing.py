@@ -34,11 +34,11 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     size = np.arange(capacity + 1, dtype=np.int64)
     have = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     best = -(-int((size * have).sum()) // capacity)
-    for k in range(2, 21):  # u(k): x where (k + 1) x is a whole number of bins, else floor((k + 1) x) / k
+    for k in range(1, 21):  # u(k): x where (k + 1) x is a whole number of bins, else floor((k + 1) x) / k
         whole = (k + 1) * size % capacity == 0
         weight = np.where(whole, size * k, (k + 1) * size // capacity * capacity)  # in units of 1 / (k * capacity)
         best = max(best, -(-int((weight * have).sum()) // (k * capacity)))
-    for e in range(1, capacity // 2 + 1, max(1, capacity // 256)):  # f(e): large items count whole, small ones not at all
+    for e in range(capacity // 2, 0, -max(1, capacity // 256)):  # f(e): large items count whole, small ones not at all
         weight = np.where(size > capacity - e, capacity, np.where(size >= e, size, 0))
         best = max(best, -(-int((weight * have).sum()) // capacity))
     return best

@@ -60,17 +60,21 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return packed.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
 
 
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(``id_col``, fp): fp is the fingerprint as a signed long."""
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    """(``id_col``, fp, text_key): fp is the fingerprint as a signed long, text_key a hash of the text."""
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), _text_key(F.col(text_col)).alias("text_key"))
 
     def run(batches):
         for b in batches:
             fp = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64))], ["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), b.column(2)], ["_id", "fp", "text_key"])
 
     kind = slim.schema["_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"_id {kind}, fp long").withColumnRenamed("_id", id_col)
+    return slim.mapInArrow(run, f"_id {kind}, fp long, text_key long").withColumnRenamed("_id", id_col)
 
 
 def _grid(fp: Column) -> Column:
@@ -102,8 +106,8 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, crowd: int = CROWD) -> DataFrame:
-    """One row per input row: ``id_col``, fingerprint (16 hex digits), component_id (smallest id reachable)."""
-    prints = scratch.stage(fingerprints(docs, id_col, text_col, words).select(F.col(id_col).alias("_id"), "fp"), "prints")
+    """One row per input row: ``id_col``, fingerprint (16 hex digits), component_id (smallest id reachable), text_key."""
+    prints = scratch.stage(fingerprints(docs, id_col, text_col, words).select(F.col(id_col).alias("_id"), "fp", "text_key"), "prints")
     groups = scratch.stage(prints.groupBy("fp").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("n")), "groups")
     parts = scratch.stage(graph.components(links(groups.select("fp"), crowd)), "parts")
     linked = groups.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left")
@@ -112,13 +116,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name = of.groupBy("component").agg(F.min("low").alias("component_id"))
     names = scratch.stage(of.join(name, "component").select("fp", "component_id"), "names", codec="snappy")
     return prints.join(names, "fp", "left").select(
-        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "_id").alias("component_id")
+        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "_id").alias("component_id"), "text_key"
     )
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``docs`` with one document of each group: that with the smallest id (rows that share it all stay)."""
     found = near_duplicates(docs, id_col, text_col, words)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_k")).distinct()
+    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_k"), F.col("text_key").alias("_t")).distinct()
     gone = scratch.stage(gone, "gone", codec="snappy")
-    return docs.alias("d").join(gone, F.col(f"d.{id_col}").eqNullSafe(F.col("_k")), "left_anti")
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("g._k")) & (_text_key(F.col(f"d.{text_col}")) == F.col("g._t"))
+    return docs.alias("d").join(gone.alias("g"), same, "left_anti")
