@@ -13,12 +13,13 @@ def uses(posts: DataFrame) -> DataFrame:
     return posts.select("slug", "preset", "created_at", F.explode("assets").alias("asset"))
 
 
-def usage_counts(posts: DataFrame) -> DataFrame:
-    return uses(posts).groupBy("asset").agg(F.count(F.lit(1)).alias("uses"))
+def usage_counts(used: DataFrame) -> DataFrame:
+    """Of ``uses``, or any table with a row per use: repeats within a post count."""
+    return used.groupBy("asset").agg(F.count(F.lit(1)).alias("uses"))
 
 
-def last_used(posts: DataFrame) -> DataFrame:
-    return uses(posts).groupBy("asset").agg(F.max("created_at").alias("last_used"))
+def last_used(used: DataFrame) -> DataFrame:
+    return used.groupBy("asset").agg(F.max("created_at").alias("last_used"))
 
 
 def cooling(posts: DataFrame, days: float, now: Column) -> DataFrame:
@@ -35,10 +36,10 @@ def preset_counts(posts: DataFrame) -> DataFrame:
     return posts.groupBy("preset").agg(F.count(F.lit(1)).alias("posts"))
 
 
-def summary(posts: DataFrame, now: Column) -> DataFrame:
+def summary(posts: DataFrame, used: DataFrame, now: Column) -> DataFrame:
     """One row: all posts, those of the last seven days, distinct assets."""
     per_post = posts.agg(F.count(F.lit(1)).alias("posts"), F.count_if(F.col("created_at") >= now - 7 * DAY).alias("posts_last_7_days"))
-    return per_post.crossJoin(uses(posts).agg(F.count_distinct("asset").alias("distinct_assets")))  # one row each
+    return per_post.crossJoin(used.agg(F.count_distinct("asset").alias("distinct_assets")))  # one row each
 
 
 def upsert(posts: DataFrame, new: DataFrame, key: str = "slug") -> DataFrame:

@@ -69,13 +69,16 @@ def seconds(ts: Column) -> Column:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders and lineitem -> posts; an order without lines has no assets."""
+    """orders -> posts without their assets, which are the lines: see ``uses``."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").cast("string").alias("slug"), F.col("o_orderpriority").alias("preset"), seconds(F.col("o_orderdate")).alias("created_at"))
+
+
+def uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per line: asset, created_at."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    used = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_partkey").cast("string"))).alias("assets"))
-    return o.join(used, o["o_orderkey"] == used["l_orderkey"], "left").select(
-        F.col("o_orderkey").cast("string").alias("slug"), F.col("o_orderpriority").alias("preset"), seconds(F.col("o_orderdate")).alias("created_at"),
-        F.coalesce("assets", F.array().cast("array<string>")).alias("assets"), F.lit("out").alias("output"), F.lit(12.0).alias("duration"),
-    )
+    used = li.select("l_orderkey", F.col("l_partkey").cast("string").alias("asset"))
+    return used.join(o.select("o_orderkey", seconds(F.col("o_orderdate")).alias("created_at")), F.col("l_orderkey") == F.col("o_orderkey")).select("asset", "created_at")
 
 
 USES = "uses AS (SELECT o_orderkey::VARCHAR AS slug, o_orderpriority AS preset, epoch(o_orderdate)::DOUBLE AS created_at, l_partkey::VARCHAR AS asset FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"

@@ -89,7 +89,8 @@ _COOLING = f"cooling AS (SELECT DISTINCT asset FROM uses WHERE created_at >= (SE
 def _cooling(spark, sf_dir, days: float = 21):
     """Orders are filtered before lines are joined: only recent ones meet the lines."""
     o, li = A.table(spark, sf_dir, "orders"), A.table(spark, sf_dir, "lineitem")
-    recent = o.where(A.seconds(F.col("o_orderdate")) >= A.now(o) - days * ledger.DAY)
+    limit = o.agg((F.max("o_orderdate") - F.make_dt_interval(days=F.lit(days).cast("int"))).alias("limit")).scalar()
+    recent = o.where(F.col("o_orderdate") >= limit)
     return li.join(recent, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(F.col("l_partkey").cast("string").alias("asset")).distinct()
 
 
@@ -135,12 +136,12 @@ def quality_score(spark, sf_dir):
 @query(f"WITH {A.USES} SELECT asset, count(*) AS uses FROM uses GROUP BY ALL")
 def usage_counts(spark, sf_dir):
     li = A.table(spark, sf_dir, "lineitem")  # uses per part need no join: every line is a use
-    return li.groupBy(F.col("l_partkey").cast("string").alias("asset")).agg(F.count(F.lit(1)).alias("uses"))
+    return ledger.usage_counts(li.select(F.col("l_partkey").cast("string").alias("asset")))
 
 
 @query(f"WITH {A.USES} SELECT asset, max(created_at) AS last_used FROM uses GROUP BY ALL")
 def last_used(spark, sf_dir):
-    return ledger.last_used(A.posts(spark, sf_dir))
+    return ledger.last_used(A.uses(spark, sf_dir))
 
 
 @query(f"WITH {A.USES}, {_COOLING} SELECT asset FROM cooling")
@@ -158,7 +159,8 @@ def available_parts(spark, sf_dir):
     (SELECT count(DISTINCT l_partkey) FROM lineitem) AS distinct_assets FROM orders, n""")
 def ledger_summary(spark, sf_dir):
     o = A.table(spark, sf_dir, "orders")
-    return ledger.summary(A.posts(spark, sf_dir), A.now(o))
+    lines = A.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("asset"))
+    return ledger.summary(A.posts(spark, sf_dir), lines, A.now(o))
 
 
 @query("SELECT o_orderpriority AS preset, count(*) AS posts FROM orders GROUP BY ALL")

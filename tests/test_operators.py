@@ -142,10 +142,10 @@ def test_ledger(spark):
     posts = spark.createDataFrame([("a", "p", now - 21 * ledger.DAY, ["x", "x", "y"], "o", 1.0), ("b", "q", now - 22 * ledger.DAY, ["z"], "o", 1.0), ("c", "p", now, [], "o", 1.0)], ledger.SCHEMA)
     assert {r["asset"] for r in ledger.cooling(posts, 21, F.lit(now)).collect()} == {"x", "y"}
     assert ledger.cooling(posts, 0, F.lit(now)).count() == 0
-    assert {r["asset"]: r["uses"] for r in ledger.usage_counts(posts).collect()} == {"x": 2, "y": 1, "z": 1}
+    assert {r["asset"]: r["uses"] for r in ledger.usage_counts(ledger.uses(posts)).collect()} == {"x": 2, "y": 1, "z": 1}
     new = spark.createDataFrame([("a", "r", now, ["n"], "o", 2.0)], ledger.SCHEMA)
     assert {(r["slug"], r["preset"]) for r in ledger.upsert(posts, new).collect()} == {("a", "r"), ("b", "q"), ("c", "p")}
-    assert tuple(ledger.summary(posts, F.lit(now)).first()) == (3, 1, 3)
+    assert tuple(ledger.summary(posts, ledger.uses(posts), F.lit(now)).first()) == (3, 1, 3)
     assert [r["slug"] for r in ledger.recent(posts, 2, "p").collect()] == ["c", "a"]
 
 
