@@ -6,9 +6,10 @@ score, and how many tokens of a text are known.
 
 The model (Mnih and Hinton, 2007) predicts a vector from the two tokens before and gives each class of
 tokens a score by its product with the class's vector, plus a bias. Each of the ``SHORTLIST`` most
-frequent tokens is a class; all others share one class and divide its probability as the base does, so
-that the probabilities of all tokens, and of an unknown one, add up to 1. Which classes follow which
-is counted over all training documents: at most (SHORTLIST + 1)^3 sums, whatever the input's size. The
+frequent tokens is a class; the others share ``RESTS`` classes by their last byte, and divide the
+probability of theirs by their counts plus a half, so that the probabilities of all tokens, and of an
+unknown one in each of these classes, add up to 1. Which classes follow which is counted over all
+training documents: at most (SHORTLIST + RESTS)^3 sums, whatever the input's size. The
 parameters are fitted to these counts by noise-contrastive estimation (Mnih and Teh, 2012), with the
 sum over noise samples replaced by its expectation; then batched matrix products give every
 context's normalised log-probabilities.
@@ -35,15 +36,21 @@ from pyspark.sql import functions as F
 
 from shoal.llm import scratch
 
-SHORTLIST, BLOCK, DIM, NOISE, EPOCHS, SEED = 127, 8_000_000, 32, 16, 40, 7
+SHORTLIST, RESTS, BLOCK, DIM, NOISE, EPOCHS, SEED = 96, 32, 8_000_000, 32, 16, 40, 7
 _END = b"\n"  # can't be a word
-_REST = 0  # the class of all tokens off the shortlist
 
 
 def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()  # bytes: A-Z only, and exactly the white space \x20 \x09-\x0D
 
 
+def _rest(word: Column) -> Column:
+    """The class of a token off the shortlist: its last byte's letter, or kind of sign."""
+    last = F.conv(F.hex(F.substring(word, -1, 1)), 16, 10).cast("int")
+    signs = F.when(last.between(48, 57), 27).when(last == 46, 28).when(last == 44, 29).when(last >= 128, 30).when(last == 10, 0).otherwise(31)
+    return F.when(last.between(97, 122), last - 96).otherwise(signs)
+
+
 def _blocks(slim: DataFrame) -> DataFrame:
     """Rows of two kinds: a document's slots (word is null), and a block's words with their training counts."""
     kind = slim.schema["_id"].dataType.simpleString()
@@ -91,7 +98,7 @@ def _blocks(slim: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, f"block long, _id {kind}, held boolean, n_tokens long, ids binary, slot int, word binary, n long")
 
 
-def _coded(docs: DataFrame, words: DataFrame, total: int, distinct: int, rest_share: float) -> DataFrame:
+def _coded(docs: DataFrame, words: DataFrame, total: int, distinct: int, mass: np.ndarray) -> DataFrame:
     """Each document's classes and its sums over known and unlisted tokens, from its block's counts."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -104,7 +111,7 @@ def _coded(docs: DataFrame, words: DataFrame, total: int, distinct: int, rest_sh
         seen, of = np.zeros(size, np.int64), np.zeros(size, np.uint8)
         seen[slots], of[slots] = c, cls
         base = np.log10((seen + 0.5) / whole)
-        rest = np.where(of == _REST, base - np.log10(max(rest_share, 1e-300)), 0.0)
+        rest = np.where(of < RESTS, np.log10((seen + 0.5) / mass[np.minimum(of, RESTS - 1)]), 0.0)
         out = [[], [], [], []]
         for packed in left.column("ids"):
             ids = np.frombuffer(zlib.decompress(packed.as_py()), "<u4")
@@ -197,16 +204,19 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     counts = scratch.stage(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("c"), "word").limit(shortlist).collect()
-    size = len(top) + 1
-    whole = total + 0.5 * (distinct + 1)
-    rest_share = 1.0 - sum(r["c"] + 0.5 for r in top) / whole
-    class_of = {bytes(r["word"]): k + 1 for k, r in enumerate(top)}
-    end = class_of.get(_END, _REST)
+    size = len(top) + RESTS
+    class_of = {bytes(r["word"]): k + RESTS for k, r in enumerate(top)}
+    end = class_of.get(_END, 0)
     listed = spark.createDataFrame(pa.table({"word": pa.array(list(class_of), pa.binary()), "cls": pa.array(list(class_of.values()), pa.int32())}))
-    found = words.join(counts, "word", "left").join(F.broadcast(listed), "word", "left")  # listed: at most ``shortlist`` rows
-    found = found.select("block", "slot", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("cls", F.lit(_REST)).alias("cls"))
+    listed = F.broadcast(listed)  # at most ``shortlist`` rows
+    others = counts.join(listed, "word", "left_anti").groupBy(_rest(F.col("word")).alias("cls")).agg(F.sum(F.col("c") + 0.5).alias("mass"))
+    mass = np.full(RESTS, 0.5)  # an unknown token in each class
+    for r in others.collect():
+        mass[r["cls"]] += r["mass"]
+    found = words.join(counts, "word", "left").join(listed, "word", "left")
+    found = found.select("block", "slot", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("cls", _rest(F.col("word"))).alias("cls"))
     own = blocks.where("word is null").select(F.col("block").alias("own_block"), "_id", "held", "n_tokens", "ids")
-    coded = scratch.stage(_coded(own, found, total, distinct, rest_share), "coded")
+    coded = scratch.stage(_coded(own, found, total, distinct, mass), "coded")
     table = spark.sparkContext.broadcast((train(_trigrams(coded, end, size)) / np.log(10)).astype(np.float32).ravel())  # size^3 numbers
 
     def run(batches):
