@@ -166,6 +166,21 @@ def crop_position(x: Column, y: Column, confidence: Column, width: Column, heigh
     return F.when(moved, F.struct(F.when(aspect > target, "x").otherwise("y").alias("axis"), fraction.alias("fraction")))
 
 
+def crop_offset(fraction: Column, source: Column, window: Column) -> Column:
+    """Where a window of so many pixels starts when its centre is at a fraction of the source."""
+    return F.greatest(F.lit(0.0), F.least(source - window, F.bround(fraction * source - window / 2))).cast("int")
+
+
+def frame_focus(profile: DataFrame, by: str, width: int, height: int, target: float) -> DataFrame:
+    """(by, x, y, confidence) from ``profiles``: the axis with slack gets the best window, the other the middle."""
+    wide = width / height > target
+    axis, n = ("col", width) if wide else ("row", height)
+    window = max(1, round(height * target if wide else width / target))
+    best = best_window(profile.where(F.col(axis).isNotNull()), by, axis, "total", min(window, n))
+    middle = F.lit(0.5)
+    return best.select(by, (F.col("centre") if wide else middle).alias("x"), (middle if wide else F.col("centre")).alias("y"), "confidence")
+
+
 def colour_stats(pixels: DataFrame, by: list[str], r: str = "r", g: str = "g", b: str = "b") -> DataFrame:
     """One aggregation: brightness, contrast, saturation, colourfulness, warmth."""
     red, green, blue = F.col(r), F.col(g), F.col(b)

@@ -65,6 +65,16 @@ def test_best_window_finds_the_subject(spark, place):
 
 
 
+def test_focus_of_a_frame(spark):
+    rows = [("f", r, c, 200.0 if 40 <= c < 52 and 10 <= r < 26 and (r + c) % 2 else 90.0, 0.0) for r in range(36) for c in range(64)]
+    px = signal.interest(spark.createDataFrame(rows, "f string, row int, col int, luma double, saturation double"), ["f"])
+    got = signal.frame_focus(signal.profiles(px, ["f"]), "f", 64, 36, 9 / 16).first()
+    assert abs(got["x"] - 46 / 64) < 0.14 and got["y"] == 0.5
+    crop = one(spark, signal.crop_position(F.lit(0.7), F.lit(0.5), F.lit(0.8), F.lit(64), F.lit(36), 9 / 16))
+    assert crop["axis"] == "x" and 0.5 < crop["fraction"] < 1
+    assert one(spark, signal.crop_offset(F.lit(0.9), F.lit(100), F.lit(40))) == 60
+
+
 def test_kmeans_recovers_planted_clusters(spark):
     rng = np.random.default_rng(1)
     planted = [(230, 40, 40), (30, 200, 60), (20, 30, 220)]
