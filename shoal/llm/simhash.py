@@ -91,7 +91,8 @@ def _grid(fp: Column) -> Column:
 
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (a, b) within two bits that connect all such pairs."""
-    cells = fps.select("fp", F.explode(_grid(F.col("fp"))).alias("cell"))
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = fps.repartition(tasks, "fp").select("fp", F.explode(_grid(F.col("fp"))).alias("cell"))
     busy = scratch.stage(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cells", codec="snappy")
     met = scratch.stage(cells.join(busy, "cell"), "met")
     near = met.where(F.col("n") <= crowd)
