@@ -69,10 +69,17 @@ def source_label(path: Column) -> Column:
     return out.otherwise("local")
 
 
-def keyword_bonus(path: Column, keywords: Column) -> Column:
-    """Half for each keyword that the path has, one at most."""
-    plain = F.translate(F.lower(path), "_-", "  ")
-    return F.least(F.lit(1.0), F.size(F.filter(keywords, lambda k: F.contains(plain, k))) / 2.0)
+def plain(path: Column) -> Column:
+    """Lower case, with blanks for ``_`` and ``-``: what keywords are looked for in."""
+    return F.translate(F.lower(path), "_-", "  ")
+
+
+def keyword_bonus(plain_text: Column, keywords: Column) -> Column:
+    """Half for each keyword that a ``plain`` text has, one at most.
+
+    Make ``plain`` a column before a join with keywords: inside the lambda it would be made anew for each.
+    """
+    return F.least(F.lit(1.0), F.size(F.filter(keywords, lambda k: F.contains(plain_text, k))) / 2.0)
 
 
 def common_prefix(a: Column, b: Column) -> Column:

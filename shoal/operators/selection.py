@@ -35,14 +35,14 @@ def score(assets: DataFrame, profiles: DataFrame) -> DataFrame:
     array<array<double>>, swatch_weights array<double>.
     """
     dim = profiles.select("*", lab_of(F.col("palette_hex")).alias("target_labs"))
-    pairs = assets.alias("a").join(F.broadcast(dim).alias("p"))
+    pairs = assets.withColumn("_plain", text.plain(F.col("path"))).alias("a").join(F.broadcast(dim).alias("p"))
     distance = numbers.nearest_mean(F.col("a.labs"), F.col("a.swatch_weights"), F.col("p.target_labs"), 40.0)
     vertical = F.when(F.col("a.height") > F.col("a.width"), 1.0).when(F.coalesce(F.try_divide("a.width", "a.height"), F.lit(0.0)) <= 1.05, 0.55).otherwise(0.3)
     part = parts(distance, vertical)
     total = sum((F.col("p.weights")[k] * part[k] for k in PARTS), F.lit(0.0))
     weight = sum((F.col("p.weights")[k] for k in PARTS), F.lit(0.0))
-    bonus = text.keyword_bonus(F.col("a.path"), F.col("p.keywords"))
-    return pairs.select(F.col("p.key").alias("preset"), "a.*", numbers.clamp(F.try_divide(total, weight) + 0.06 * bonus).alias("score"), F.create_map(*[x for k in PARTS for x in (F.lit(k), part[k])]).alias("parts"))
+    bonus = text.keyword_bonus(F.col("a._plain"), F.col("p.keywords"))
+    return pairs.select(F.col("p.key").alias("preset"), *[F.col(f"a.{c}") for c in assets.columns], numbers.clamp(F.try_divide(total, weight) + 0.06 * bonus).alias("score"), F.create_map(*[x for k in PARTS for x in (F.lit(k), part[k])]).alias("parts"))
 
 
 def top_k(scored: DataFrame, k: int, by: str = "preset", path: str = "path") -> DataFrame:

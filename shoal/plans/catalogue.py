@@ -221,9 +221,9 @@ def boards_leaderboard(spark, sf_dir):
 
 @query(f"WITH {A.PROFILES} SELECT doc_id, key, least(1::DOUBLE, len(list_filter(keywords, lambda k: contains(translate(lower(text), '_-', '  '), k)))::DOUBLE / 2) AS bonus FROM documents, profiles")
 def keyword_bonus(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = A.table(spark, sf_dir, "documents").select("doc_id", text.plain(F.col("text")).alias("plain"))
     p = profiles(spark).select("key", "keywords")
-    return d.join(F.broadcast(p)).select("doc_id", "key", text.keyword_bonus(F.col("text"), F.col("keywords")).alias("bonus"))  # 13 rows
+    return d.join(F.broadcast(p)).select("doc_id", "key", text.keyword_bonus(F.col("plain"), F.col("keywords")).alias("bonus"))  # 13 rows
 
 
 @query("""WITH t(k, v) AS (VALUES (0, [0.2::DOUBLE, 0.1::DOUBLE, 0.0::DOUBLE]), (1, [-0.1::DOUBLE, 0.0::DOUBLE, 0.1::DOUBLE]), (2, [0.0::DOUBLE, -0.2::DOUBLE, 0.05::DOUBLE])),
