@@ -51,6 +51,15 @@ def _rest(word: Column) -> Column:
     return F.when(last.between(97, 122), last - 96).otherwise(signs)
 
 
+def _pack(ids: np.ndarray) -> bytes:
+    """Compressed by planes of bytes: the upper ones are nearly all zero."""
+    return zlib.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _blocks(slim: DataFrame) -> DataFrame:
     """Rows of two kinds: a document's slots (word is null), and a block's words with their training counts."""
     kind = slim.schema["_id"].dataType.simpleString()
@@ -66,7 +75,7 @@ def _blocks(slim: DataFrame) -> DataFrame:
                 seen += np.bincount(ids, minlength=len(slot))
         m = len(docs)
         none = lambda n, t: pa.nulls(n, t)
-        packed = pa.array([zlib.compress(ids.astype("<u4").tobytes(), 1) for _, _, ids in docs], pa.binary())
+        packed = pa.array([_pack(ids) for _, _, ids in docs], pa.binary())
         yield pa.RecordBatch.from_arrays(
             [pa.array([block] * m, pa.int64()), pa.array([d[0] for d in docs], id_type), pa.array([d[1] for d in docs], pa.bool_()), pa.array([len(d[2]) for d in docs], pa.int64()), packed, none(m, pa.int32()), none(m, pa.binary()), none(m, pa.int64())], names
         )
@@ -114,7 +123,7 @@ def _coded(docs: DataFrame, words: DataFrame, total: int, distinct: int, mass: n
         rest = np.where(of < RESTS, np.log10((seen + 0.5) / mass[np.minimum(of, RESTS - 1)]), 0.0)
         out = [[], [], [], []]
         for packed in left.column("ids"):
-            ids = np.frombuffer(zlib.decompress(packed.as_py()), "<u4")
+            ids = _unpack(packed.as_py())
             for k, v in enumerate((int((seen[ids] > 0).sum()), float(base[ids].sum()), float(rest[ids].sum()), zlib.compress(of[ids].tobytes(), 1))):
                 out[k].append(v)
         kinds = (pa.int64(), pa.float64(), pa.float64(), pa.binary())
