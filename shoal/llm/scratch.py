@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SEEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,9 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if not base:
         base = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="shoal-"))
+    _SEEN[app] = spark
     return f"{base.rstrip('/')}/shoal-{app}"
 
 
+@atexit.register
+def _at_exit() -> None:
+    """What was staged goes with the application, if its context still runs."""
+    for spark in _SEEN.values():
+        with contextlib.suppress(Exception):  # the context or its gateway may be gone
+            if spark.sparkContext._jsc is not None:
+                clear(spark)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -46,6 +59,12 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application staged; nothing made from it can be read any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def bounded(texts, size, limit: int = 2_000_000):
     """Groups of texts (null: empty) of about ``limit`` in all; a longer text is a group of its own."""
     group, total = [], 0
