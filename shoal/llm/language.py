@@ -33,7 +33,7 @@ UNKNOWN = "und"
 _MARK, _LONGEST, _SHIFT, _RUN = "▁", 5, 12, 32
 _SMOOTH, _UNSEEN = 0.05, 1e-9
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 600_000
+_CACHE = 300_000
 
 
 def runs(chunk: str) -> list[str]:
