@@ -10,6 +10,10 @@ from __future__ import annotations
 import public_tokenizers
 import regex
 
+#: The printable letters that stand for bytes in vocabulary files: printable bytes for themselves, the others from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTER = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
+
 PATTERN = public_tokenizers.PATTERN
 #: White space of the pattern (Unicode's property), spelled out where Python's own notion differs.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"

@@ -36,18 +36,11 @@ LIMIT, _CHUNK, _WARM = 512, 1024, 128
 _STATES, _UNITS = 500_000, 400_000
 
 
-def _byte_letters() -> dict[str, int]:
-    """The printable letters that stand for bytes in such vocabulary files: printable bytes for themselves, others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
-
-
 class Transducer:
     def __init__(self, path: str = VOCABULARY):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_letters()
+        letters = {c: b for b, c in bytesplit.LETTER.items()}
         self.special = [t["content"] for t in spec["added_tokens"]]
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("special tokens that take in their surroundings aren't supported")
