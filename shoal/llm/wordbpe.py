@@ -1,28 +1,47 @@
-"""Token ids of whole texts by the ``tokenizers`` library, one call for many new words at once.
-
-The vocabulary's pre-tokenizer never joins characters across white space, so a text's ids are the ids
-of its white-space-separated chunks in a row, and a chunk's those of its pieces. Ids that the library
-gave a piece are kept, up to a bound. Texts that hold a special token's string, or one of the four
-separators that Python but not the library takes for white space, go to the library whole.
+"""Token ids of whole texts by the ``tokenizers`` library, whose model is called once for each new word.
+
+The vocabulary's normaliser (NFC, lower case) is applied to whole texts. Its pre-tokenizer never joins
+characters across white space, so a text's ids are those of its white-space-separated chunks in a row,
+and a chunk's those of its pieces. A full stop or comma between a letter and white space is a piece of
+its own and is set apart first, so that most chunks are words. Ids that the model gave a chunk are
+kept, up to a bound. Texts that hold a special token's string, or one of the four separators that
+Python but not the library takes for white space, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 
 import numpy as np
 import public_tokenizers
 import regex
 
-from shoal.llm import scratch
+from shoal.llm import bytesplit
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: The pre-tokenizer's pattern, as the vocabulary file has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-_CHUNKS, _PIECES, _BATCH = 600_000, 600_000, 5_000
-_ODD = regex.compile("[\x1c-\x1f]")
+_KEPT = 1_000_000
+_ODD = re.compile("[\x1c-\x1f]")
+_ENDS = re.compile(r"(?<=[a-z])(?=[.,](?:\s|\Z))")
+
+
+class _Chunks(dict):
+    """Chunk -> its ids as little-endian unsigned 32-bit numbers, made when first asked for."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+        self.find = regex.compile(PATTERN).findall
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = [t.id for p in ((chunk,) if chunk.isascii() and chunk.isalpha() else self.find(chunk)) for t in self.tokenize(p if p.isascii() else "".join(map(bytesplit.LETTER.__getitem__, p.encode())))]
+        if len(self) >= _KEPT:
+            self.clear()
+        raw = self[chunk] = ids[0].to_bytes(4, "little") if len(ids) == 1 else np.array(ids, dtype="<u4").tobytes()
+        return raw
 
 
 class Encoder:
@@ -31,52 +50,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.find = regex.compile(PATTERN).findall
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn_pieces(self, new: list[str]) -> None:
-        for k in range(0, len(new), _BATCH):
-            part = new[k : k + _BATCH]
-            enc = self.library.encode(" ".join(part), add_special_tokens=False)
-            word, ids = np.array(enc.word_ids, dtype=np.int64), np.array(enc.ids, dtype="<u4")
-            ends = np.searchsorted(word, np.arange(len(part) + 1)) if len(word) else np.zeros(1)
-            if len(word) and word[-1] == len(part) - 1 and (np.diff(ends) > 0).all():
-                raw = ids.tobytes()
-                self.pieces.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-            else:  # a piece that the library splits further or drops
-                self.pieces.update((w, self._whole(w)) for w in part)
-
-    def _learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.chunks]
-        if not new:
-            return
-        if len(self.chunks) + len(new) > _CHUNKS:
-            self.chunks.clear()
-            new = list(chunks)
-        if len(self.pieces) > _PIECES:
-            self.pieces.clear()
-        parts = []
-        for c in new:
-            if not c.isascii():
-                c = unicodedata.normalize("NFC", c).replace("Σ", "σ")  # the library lower-cases each character alone
-            parts.append(self.find(c.lower()))
-        self._learn_pieces([w for w in dict.fromkeys(w for p in parts for w in p) if w not in self.pieces])
-        get = self.pieces.__getitem__
-        self.chunks.update((c, b"".join(map(get, p))) for c, p in zip(new, parts, strict=True))
+        self.chunks = _Chunks(self.library.model)
+
+    def encode_one(self, text: str) -> bytes:
+        if _ODD.search(text) or "<|" in text and any(s in text for s in SPECIAL):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the library lower-cases each character alone
+        return b"".join(map(self.chunks.__getitem__, _ENDS.sub(" ", text.lower()).split()))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens; null counts as empty."""
-        out: list[bytes] = []
-        for group in scratch.bounded(texts, len):
-            split = [None if _ODD.search(t) or "<|" in t and any(s in t for s in SPECIAL) else t.split() for t in group]
-            self._learn(set().union(*filter(None, split)))
-            get = self.chunks.__getitem__
-            out += [self._whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(group, split, strict=True)]
-        return out
+        return [self.encode_one(t or "") for t in texts]
 
 
 _WORKER: dict[str, Encoder] = {}
