@@ -7,10 +7,15 @@ sqrt(D - 1) only with a probability that falls as exp(-e^2 / 2). A pair is recom
 double precision, unless that bound at e = ``CONFIDENCE`` (6: under 1e-7) or the angle between q and
 c, which can't exceed that between o and c plus that between q and o, rules it out.
 
-Equal vectors of a label are one class with a multiplicity. Classes are dealt to blocks of about
-``BLOCK`` within their label, so that a label of any size is many tasks; each pair of blocks is one
-bounded task that returns a row per linked class (how many vectors it links with) and a spanning
-forest of its links, never the pairs themselves.
+Equal vectors of a label are one class with a multiplicity. A label of up to ``DIRECT`` classes is one
+bucket. A larger one is dealt to buckets of about that size by the signs of k random projections, in as
+many independent tables as make the chance that a pair at the threshold shares no bucket less than
+``MISS`` (1e-6; less still for closer pairs): work grows as n^1.2 or so instead of n^2. A pair counts in
+the first table where it shares a bucket.
+
+Buckets are cut into blocks of about ``BLOCK``, so that one of any size is many tasks; each pair of
+blocks is one bounded task that returns a row per linked class (how many vectors it links with) and a
+spanning forest of its links, never the pairs themselves.
 
 Defined results: null labels, vectors that are null, empty or zero, and vectors with null or
 non-finite components link with nothing; vectors of different length don't link; null ids are
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from shoal.llm import graph, scratch
 
-THRESHOLD, BLOCK, CONFIDENCE, SEED = 0.93, 2048, 6.0, 20240527
+THRESHOLD, BLOCK, DIRECT, MISS, CONFIDENCE, SEED = 0.93, 2048, 16_384, 1e-6, 6.0, 20240527
 _SLACK = 1e-6
 
 
@@ -71,6 +76,21 @@ def block_links(x: np.ndarray, y: np.ndarray, packed: np.ndarray, a: np.ndarray,
     return np.concatenate([*left, none]), np.concatenate([*right, none])
 
 
+def projections(vec: np.ndarray, k: int, tables: range) -> np.ndarray:
+    """[vector, table]: the signs of k random projections as one number.
+
+    Vectors and directions are rounded to integers whose sums are exact in double precision, so that the
+    same vector gets the same signs whatever it is computed with.
+    """
+    dim = vec.shape[1]
+    x = np.rint(vec / np.linalg.norm(vec, axis=1)[:, None] * (1 << 20))
+    out = np.zeros((len(vec), len(tables)), np.int64)
+    for c, t in enumerate(tables if k else []):
+        way = np.rint(np.random.default_rng([SEED, dim, k, t]).standard_normal((dim, k)) * 1024)
+        out[:, c] = (x @ way >= 0) @ (1 << np.arange(k, dtype=np.int64))
+    return out
+
+
 def _prepared(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """_id, key (null: links with nothing), label, vec."""
     slim = vectors.select(F.col(id_col).alias("_id"), F.col(label_col).cast("string").alias("_label"), F.col(vec_col).cast("array<double>").alias("_vec"))
@@ -88,33 +108,67 @@ def _prepared(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) ->
     return slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, _label string, _vec array<double>, key binary")
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def _buckets(classes: DataFrame, direct: int, threshold: float) -> DataFrame:
+    """classes -> label, dim, k, t, code, cid, n, vec: a row for each table."""
+    agree = 1 - float(np.arccos(threshold)) / np.pi  # of one sign, at the threshold
+    k = F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / direct))).cast("int")
+    sizes = classes.groupBy("label", "dim").agg(k.alias("k"))
+    tables = F.when(F.col("k") == 0, 1).otherwise(F.ceil(F.lit(float(np.log(MISS))) / F.log(1 - F.pow(F.lit(agree), F.col("k"))))).cast("int")
+    rows = classes.join(sizes, ["label", "dim"]).select("label", "dim", "k", tables.alias("tables"), "cid", "n", "vec")
+
+    def run(batches):
+        for b in batches:
+            dim, k, tables = (b.column(c).to_numpy() for c in ("dim", "k", "tables"))
+            vecs = b.column("vec")
+            for kind in sorted(set(zip(dim.tolist(), k.tolist(), tables.tolist(), strict=True))):
+                at = np.flatnonzero((dim == kind[0]) & (k == kind[1]) & (tables == kind[2]))
+                part = b.take(pa.array(at))
+                code = projections(vecs.take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1), kind[1], range(kind[2]))
+                for t in range(kind[2]):
+                    own = [part.column(c) for c in ("label", "dim", "k")]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(at), t, np.int32)), pa.array(code[:, t]), *(part.column(c) for c in ("cid", "n", "vec"))], ["label", "dim", "k", "t", "code", "cid", "n", "vec"])
+
+    return rows.mapInArrow(run, "label string, dim int, k int, t int, code long, cid long, n long, vec array<double>")
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, block: int = BLOCK, direct: int = DIRECT) -> DataFrame:
     """One row per input row: ``id_col``, n_links, component_id (smallest id reachable), kept."""
     rows = scratch.stage(_prepared(vectors, id_col, vec_col, label_col), "vectors")
     classes = rows.where("key is not null").groupBy("key").agg(F.first("_vec").alias("vec"), F.first("_label").alias("label"), F.min("_id").alias("low"), F.count(F.lit(1)).alias("n"))
     classes = scratch.stage(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")), "classes")
-    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = classes.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    placed = placed.select("cid", "n", "label", "dim", "block", "blocks", "vec")
-    i_side = placed.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumn("side", F.lit(0))
-    j_side = placed.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), "block"))).withColumn("side", F.lit(1))
-    both = i_side.unionByName(j_side).select("label", "dim", "i", "j", "side", "cid", "n", "vec")
+    dealt = _buckets(classes, direct, threshold)
+    key = ["label", "dim", "t", "code"]
+    crowded = dealt.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    crowded = scratch.stage(crowded, "crowded", codec="snappy")
+    placed = dealt.join(crowded, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    i_side = placed.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumn("side", F.when(F.col("i") == F.col("j"), 2).otherwise(0))
+    j_side = placed.where("block > 0").withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).withColumn("side", F.lit(1))
+    both = i_side.unionByName(j_side).select(*key, "k", "i", "j", "side", "cid", "n", "vec")
 
     def task(t: pa.Table) -> pa.Table:
         side, cid, n = (t.column(c).to_numpy() for c in ("side", "cid", "n"))
-        flat = t.column("vec").combine_chunks()
-        vec = flat.flatten().to_numpy().reshape(len(side), -1)
-        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        own = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        vec = t.column("vec").combine_chunks().flatten().to_numpy().reshape(len(side), -1)
+        first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(first) or not len(second):
             return pa.table({"cid": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         unit = vec[second] / np.linalg.norm(vec[second], axis=1)[:, None]
         p, q = block_links(vec[first], vec[second], *codes(unit), threshold)
         p, q = first[p], second[q]
-        keep = cid[p] < cid[q] if own else cid[p] != cid[q]
+        keep = cid[p] < cid[q] if side[0] == 2 else cid[p] != cid[q]
+        p, q = p[keep], q[keep]
+        table, k = t.column("t")[0].as_py(), t.column("k")[0].as_py()
+        if table and len(p):  # a pair that shared a bucket in an earlier table was counted there
+            linked, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+            a, b = np.split(at, 2)
+            early = np.zeros(len(p), bool)
+            for other in range(table):
+                code = projections(vec[linked], k, range(other, other + 1))[:, 0]
+                early |= code[a] == code[b]
+            p, q = p[~early], q[~early]
         names, at = np.unique(cid, return_inverse=True)
-        p, q, np_, nq = at[p[keep]], at[q[keep]], n[p[keep]], n[q[keep]]
-        links = np.bincount(p, weights=nq, minlength=len(names)) + np.bincount(q, weights=np_, minlength=len(names))
+        n_p, n_q, p, q = n[p], n[q], at[p], at[q]
+        links = np.bincount(p, weights=n_q, minlength=len(names)) + np.bincount(q, weights=n_p, minlength=len(names))
         root = np.arange(len(names))
         while True:  # labels fall until each component has its smallest class
             old = root.copy()
@@ -126,7 +180,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         some = links > 0
         return pa.table({"cid": names[some], "links": links[some].astype(np.int64), "root": names[root[some]]})
 
-    found = both.groupBy("label", "dim", "i", "j").applyInArrow(task, "cid long, links long, root long")
+    found = both.groupBy(*key, "i", "j").applyInArrow(task, "cid long, links long, root long")
     found = scratch.stage(found, "links")
     parts = scratch.stage(graph.components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))), "parts")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))

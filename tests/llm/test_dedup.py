@@ -138,8 +138,8 @@ def test_embeddings_equal_brute_force(spark):
 
     df = spark.createDataFrame(rows, VEC)
     comp = closure(len(rows), linked)
-    for block in (2048, 7):
-        got = embedding_dedup.near_duplicates(df, block=block).collect()
+    for block, direct in ((2048, 16_384), (7, 16_384), (5, 12)):
+        got = embedding_dedup.near_duplicates(df, block=block, direct=direct).collect()
         assert len(got) == len(rows)
         for r in got:
             at = next(k for k, row in enumerate(rows) if row[0] == r["vec_id"])
