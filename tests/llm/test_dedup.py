@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from shoal.llm import embedding_dedup, exact_dedup, graph, simhash
+import corpus_pipeline
+from shoal.llm import embedding_dedup, exact_dedup, graph, jaccard, simhash
 
 DOCS = "doc_id long, text string, keep_id string, _id int, fp string"
 
@@ -103,6 +104,38 @@ def test_simhash_dedup_keeps_smallest(spark):
     assert {1, 4} <= kept and 9 not in kept and None in kept
 
 
+def plain_jaccard(a, b, words=5):
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_of_a_similarity_of_0_8_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 7)  # cells and components are dealt out in blocks
+    rng = random.Random(11)
+    rows = [None, "", "One", "one", "a b c"]
+    for size in (40, 120, 400):
+        for _ in range(4):
+            base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+            rows.append(" ".join(base))
+            for edits in range(1, 1 + size // 20):
+                w = list(base)
+                for at in rng.sample(range(size), edits):
+                    w[at] = f"new{rng.randrange(10**6)}"
+                rows.append(" ".join(w))
+    like = {(i, j): plain_jaccard(rows[i], rows[j]) for i in range(len(rows)) for j in range(i)}
+    far = [p for p, s in like.items() if 0.8 <= s <= 0.95 and bin(plain_fingerprint(rows[p[0]], 5) ^ plain_fingerprint(rows[p[1]], 5)).count("1") > 2]
+    assert len(far) > 20 and sum(0.5 < s < 0.8 for s in like.values()) > 20
+    comp = closure(len(rows), lambda i, j: like[i, j] >= 0.8)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs(spark, list(enumerate(rows)))).collect()}
+    assert [got[i] for i in range(len(rows))] == comp
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs(spark, list(enumerate(rows))), "").collect()} == set(comp)
+    assert jaccard.dedup(docs(spark, [])).count() == 0
+
+
 def test_long_text_fingerprint():
     text = " ".join(f"w{k * k % 7919}" for k in range(70_000))
     assert simhash.fingerprint(text.encode(), 5) == plain_fingerprint(text, 5)
