@@ -1,85 +1,128 @@
 """Language identification by segmentation-marginalised unigrams.
 
-The vocabulary is fixed and public: the letter pieces of a sentencepiece model, at most five
-characters long (the word-start mark counts as one), and every single letter of their alphabet.
-Each language has a probability for each piece. The forward algorithm sums the probability of *all*
-segmentations of a word into pieces; a text's score is the sum over the letter runs of the whole
-text. The probabilities come from expectation-maximisation over the distinct runs of a bounded sample
-of labelled rows (``ROWS_PER_LANG`` rows and the ``WORDS_PER_LANG`` most frequent runs a language,
-chosen by a hash, alike at any size).
-
-Defined results: null text, or one without a letter, gives ``und`` with score 0, and so does every
-text when there is nothing to learn from; equal scores go to the language that sorts first; runs over
-32 letters are scored in pieces of 32; repeated rows each get a row; other columns are not inputs.
+The vocabulary is fixed and public: all lower-case letter pieces of a sentencepiece model, of any
+length, and every single letter of their alphabet (texts are lower-cased, so pieces with capitals can't
+occur). Each language has a probability for each piece. The forward algorithm sums the probability of
+*all* segmentations of a letter run, however long, into pieces; a text's score is the sum over the letter
+runs of the whole text. The probabilities come from expectation-maximisation over all letter runs of a
+bounded sample of labelled rows: about ``ROWS_PER_LANG`` a language, chosen by a 64-bit hash, alike at any
+size. Training runs on the driver, on that sample.
+
+Defined results: null text, or one without a letter (Unicode category L), gives ``und`` with score 0, and
+so does every text when there is nothing to learn from; equal scores go to the language that sorts first;
+repeated rows each get a row; rows without a language or text aren't learned from; an empty table gives an
+empty result; other columns of the input are carried along unread, whatever their names. More than
+``MOST_LANGS`` languages are refused, as the model has a column for each.
 """
 
 from __future__ import annotations
 
-import re
+import functools
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+import sentencepiece
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm import scratch
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
-ROWS_PER_LANG, WORDS_PER_LANG, ROUNDS = 1500, 20_000, 3
-UNKNOWN = "und"
-_MARK, _LONGEST, _SHIFT, _RUN = "▁", 5, 12, 32
-_SMOOTH, _UNSEEN = 0.05, 1e-9
-_LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 300_000
+ROWS_PER_LANG, MOST_LANGS, ROUNDS = 1500, 2000, 3
+UNKNOWN, LEAST, SPREAD, SHORT = "und", 0.5, 2.0, 10.0
+_MARK, _SMOOTH, _UNSEEN = "▁", 0.05, 1e-9
+_LETTERS = regex.compile(r"\p{L}+")
+_CACHE, _SPAN, _SEGMENT, _USUAL = 300_000, 16, 4096, 64
 
 
 def runs(chunk: str) -> list[str]:
-    """Lower-cased runs of letters, in pieces of at most 32."""
-    if len(chunk) <= _RUN // 3 and chunk.isascii() and chunk.isalpha():
+    """Lower-cased runs of letters."""
+    if chunk.isascii() and chunk.isalpha():
         return [chunk.lower()]
-    return [r[k : k + _RUN] for r in _LETTERS.findall(chunk.lower()) for k in range(0, len(r), _RUN)]
+    return _LETTERS.findall(chunk.lower())
 
 
 class Pieces:
-    """The fixed vocabulary as sorted integer keys: 12 bits a character, exact."""
+    """The fixed vocabulary as a tree of characters; ``piece`` names the piece that ends in a node, or -1."""
 
     def __init__(self, path: str = VOCABULARY):
-        import sentencepiece
-
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         words = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        words = {w for w in words if len(w) <= _LONGEST and _LETTERS.fullmatch(w.removeprefix(_MARK) or "a") and w == w.lower()}
-        self.alphabet = {c: k + 1 for k, c in enumerate(sorted(set("".join(words)) | {_MARK}))}
-        assert len(self.alphabet) < 1 << _SHIFT
-        words |= set(self.alphabet)
+        words = {w for w in words if w == w.lower() and _LETTERS.fullmatch(w.removeprefix(_MARK) or "a")}
+        words |= set("".join(words)) | {_MARK}
+        self.path, self.words = path, sorted(words)
+        if max(map(len, words)) > _SPAN:
+            raise ValueError("a piece of the vocabulary is too long")
+        use: dict[str, int] = {}
+        node, self.piece, edges = {"": 0}, [-1], []
+        for k, w in enumerate(self.words):
+            for n in range(1, len(w) + 1):
+                if w[:n] not in node:
+                    node[w[:n]] = len(self.piece)
+                    self.piece.append(-1)
+                    edges.append((node[w[: n - 1]], w[n - 1], node[w[:n]]))
+                    use[w[n - 1]] = use.get(w[n - 1], 0) + 1
+            self.piece[node[w]] = k
+        self.piece = np.array(self.piece, np.int32)
+        letters = {c: k + 1 for k, c in enumerate(sorted(use, key=lambda c: (-use[c], c)))}  # 0: not in the alphabet
         self.code = np.zeros(0x110000, np.int16)
-        for c, k in self.alphabet.items():
+        for c, k in letters.items():
             self.code[ord(c)] = k
-        self.keys = np.sort(np.array([self._key(w) for w in words], dtype=np.int64))
-
-    def _key(self, w: str) -> int:
-        key = 0
-        for c in w:
-            key = key << _SHIFT | self.alphabet[c]
-        return key
-
-    def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For words of one length: [start, piece length - 1, word] -> row of the piece, or len(keys) if there is none;
-        and where a single letter isn't in the alphabet."""
+        self.next = np.full((len(self.piece), _USUAL), -1, np.int32)  # by the usual letters; the others are searched
+        rare = []
+        for a, c, b in edges:
+            if letters[c] < _USUAL:
+                self.next[a, letters[c]] = b
+            else:
+                rare.append((a << 16 | letters[c], b))
+        self.rare_key, self.rare_next = (np.array(x, np.int64) for x in zip(*sorted(rare), strict=True))
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        """[position, word] for words of one length, after the mark of a word's start."""
         points = np.frombuffer("".join([_MARK + w for w in words]).encode("utf-32-le"), dtype="<u4")
-        code = np.ascontiguousarray(self.code[points].reshape(len(words), -1).T).astype(np.int64)
-        n, absent = code.shape[0], len(self.keys)
-        found = np.full((n, _LONGEST, code.shape[1]), absent, dtype=np.int32)
-        for i in range(n):
-            key, ok = np.zeros(code.shape[1], np.int64), np.ones(code.shape[1], bool)
-            for size in range(1, min(_LONGEST, n - i) + 1):
-                key, ok = key << _SHIFT | code[i + size - 1], ok & (code[i + size - 1] > 0)
-                at = np.minimum(np.searchsorted(self.keys, key), absent - 1)
-                found[i, size - 1] = np.where(ok & (self.keys[at] == key), at, absent)
-        return found, code == 0
+        return np.ascontiguousarray(self.code[points].reshape(len(words), -1).T)
+
+    def _step(self, node: np.ndarray, c: np.ndarray) -> np.ndarray:
+        to = self.next[node, np.where(c < _USUAL, c, 0)]
+        rare = np.flatnonzero(c >= _USUAL)
+        if len(rare):
+            key = node[rare].astype(np.int64) << 16 | c[rare]
+            at = np.minimum(np.searchsorted(self.rare_key, key), len(self.rare_key) - 1)
+            to[rare] = np.where(self.rare_key[at] == key, self.rare_next[at], -1)
+        return to
+
+    def edges(self, code: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """(end, size, word, piece) of all pieces that start at lo to hi - 1, by end and size. A letter off the alphabet is the piece
+        after the last."""
+        n, m = code.shape
+        start, word = np.repeat(np.arange(lo, hi), m), np.tile(np.arange(m), hi - lo)
+        node, out, size = np.zeros(len(start), np.int32), [], 0
+        while len(start):
+            to = self._step(node, code[start + size, word])
+            size += 1
+            ok = to >= 0
+            if size == 1:
+                odd = ~ok
+                out.append((start[odd] + 1, np.ones(odd.sum(), np.int64), word[odd], np.full(odd.sum(), len(self.words), np.int32)))
+            start, word, node = start[ok], word[ok], to[ok]
+            piece = self.piece[node]
+            hit = piece >= 0
+            out.append((start[hit] + size, np.full(hit.sum(), size), word[hit], piece[hit]))
+            more = start + size < n
+            start, word, node = start[more], word[more], node[more]
+        end, sizes, words, pieces = (np.concatenate([o[k] for o in out]) for k in range(4))
+        order = np.argsort(end * (_SPAN + 1) + sizes, kind="stable")
+        return end[order], sizes[order], words[order], pieces[order]
+
+
+@functools.lru_cache(2)
+def vocabulary(path: str) -> Pieces:
+    return Pieces(path)
 
 
 def _by_length(words: list[str]) -> dict[int, list[int]]:
@@ -89,75 +132,122 @@ def _by_length(words: list[str]) -> dict[int, list[int]]:
     return out
 
 
-def _forward(found: np.ndarray, odd: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """[position, word, language]: the summed probability of all segmentations of the first so many characters."""
-    n, _, m = found.shape
-    alpha = np.zeros((n + 1, m, prob.shape[1]))
-    alpha[0] = 1.0
-    for j in range(1, n + 1):
-        for size in range(1, min(_LONGEST, j) + 1):
-            alpha[j] += alpha[j - size] * prob[found[j - size, size - 1]]
-        alpha[j] += alpha[j - 1] * (odd[j - 1] * _UNSEEN)[:, None]
-    return alpha
+def _split(edges: tuple[np.ndarray, ...]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(end, size, words, pieces): each word at most once in an entry."""
+    end, size, word, piece = edges
+    cut = np.flatnonzero(np.diff(end * (_SPAN + 1) + size)) + 1
+    first = np.concatenate([[0], cut]) if len(end) else cut
+    return list(zip(end[first].tolist(), size[first].tolist(), np.split(word, cut), np.split(piece, cut), strict=False))
+
+
+def forward(pieces: Pieces, code: np.ndarray, prob: np.ndarray, lattice: list | None = None):
+    """Summed probabilities of all segmentations of the words in ``code``, a column a language.
+
+    Positions lie in blocks of ``_SPAN``, each with a scale of its own, so no run is too long for doubles.
+    Returns the logarithms at the end of the words; and, for a ``lattice`` of all edges, the values at all
+    positions and the logarithm of each block's scale.
+    """
+    n, m = code.shape
+    size = n + 1 if lattice else 2 * _SPAN
+    a, scale, logs, back = np.zeros((size, m, prob.shape[1])), np.zeros((m, prob.shape[1])), [], None
+    a[0] = 1.0
+    logs.append(scale)
+    at = 0
+    for lo in range(0, n, n if lattice else _SEGMENT):
+        hi = n if lattice else min(lo + _SEGMENT, n)
+        for j, k, word, piece in lattice or _split(pieces.edges(code, max(0, lo - _SPAN + 1), hi)):
+            if not lo < j <= hi:
+                continue  # of an earlier segment, or left to the next one
+            if j != at:
+                at = j
+                a[j % size] = 0.0
+                if j % _SPAN == 0:
+                    top = a[[i % size for i in range(j - _SPAN, j)]].max(axis=0)
+                    back, scale = 1.0 / top, scale + np.log(top)
+                    logs.append(scale)
+            v = a[(j - k) % size][word] * prob[piece]
+            a[j % size][word] += v * back[word] if (j - k) // _SPAN != j // _SPAN else v
+    total = np.log(a[n % size]) + scale
+    return (total, a, logs) if lattice else total
+
+
+def _expected(pieces: Pieces, code: np.ndarray, lattice: list, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in words of these weights, over all their segmentations (one language)."""
+    n, m = code.shape
+    total, a, logs = forward(pieces, code, prob, lattice)
+    b, at, scale, back = np.zeros((n + 1, m)), n // _SPAN, np.zeros(m), None
+    b[n] = 1.0
+    shift, factor = {at: scale}, {}
+    share, used = [], []
+    for j, k, word, piece in sorted(lattice, key=lambda e: e[1] - e[0]):
+        i = j - k
+        if i // _SPAN != at:  # all positions above are complete
+            at = i // _SPAN
+            top = b[i + 1 : i + 1 + _SPAN].max(axis=0)
+            back, scale = 1.0 / top, scale + np.log(top)
+            shift[at] = scale
+        blocks = i // _SPAN, j // _SPAN
+        if blocks not in factor:
+            factor[blocks] = weight * np.exp(logs[blocks[0]][:, 0] + shift[blocks[1]] - total[:, 0])
+        v = prob[piece, 0] * b[j][word]
+        share.append(a[i, word, 0] * v * factor[blocks][word])
+        used.append(piece)
+        b[i][word] += v * back[word] if blocks[1] != at else v
+    return np.bincount(np.concatenate(used), weights=np.concatenate(share), minlength=len(prob))
 
 
 @dataclass
 class Model:
-    """Piece probabilities, one column a language; the last row belongs to no piece and is 0."""
+    """Piece probabilities, a column a language; the last row is that of a letter off the alphabet. ``usual`` holds, for each
+    language, the mean and the deviation of the log-probability of a letter of its own words."""
 
     langs: list[str]
     prob: np.ndarray
-    pieces: Pieces
+    path: str
+    usual: np.ndarray
 
     def log_scores(self, words: list[str]) -> np.ndarray:
-        out = np.empty((len(words), len(self.langs)))
-        for at in _by_length(words).values():
-            for k in range(0, len(at), 20_000):
-                found, odd = self.pieces.lattice([words[i] for i in at[k : k + 20_000]])
-                out[at[k : k + 20_000]] = np.log(np.maximum(_forward(found, odd, self.prob)[-1], 1e-300))
+        pieces, out = vocabulary(self.path), np.empty((len(words), len(self.langs)))
+        for n, at in _by_length(words).items():
+            step = max(1, 200_000 // (n + 1))
+            for k in range(0, len(at), step):
+                out[at[k : k + step]] = forward(pieces, pieces.codes([words[i] for i in at[k : k + step]]), self.prob)
         return out
 
 
-def train(counts: dict[str, dict[str, float]], pieces: Pieces, rounds: int = ROUNDS) -> Model:
+def train(counts: dict[str, dict[str, float]], path: str = VOCABULARY, rounds: int = ROUNDS) -> Model:
     """``counts``: language -> letter run -> weight. Expectation-maximisation over all segmentations."""
-    langs = sorted(counts)
-    words = sorted({w for c in counts.values() for w in c})
-    weight = np.array([[counts[x].get(w, 0.0) for x in langs] for w in words]).reshape(len(words), len(langs))
-    rows = len(pieces.keys)
-    length = np.array([1 + int(np.floor(np.log2(max(int(k), 1)))) // _SHIFT for k in pieces.keys])
-    prior = (0.02 ** (length.astype(float)))[:, None] * np.ones(len(langs))  # longer pieces start rarer, as strings of letters are
-    prob = np.vstack([prior / np.maximum(prior.sum(axis=0), 1e-300), np.zeros(len(langs))])
-    groups = [(at, *pieces.lattice([words[i] for i in at])) for at in _by_length(words).values()]
-    for _ in range(rounds):
-        total = np.zeros((rows + 1, len(langs)))
-        for at, found, odd in groups:
-            n, _, m = found.shape
-            alpha = _forward(found, odd, prob)
-            beta = np.zeros_like(alpha)
-            beta[n] = 1.0
-            for i in range(n - 1, -1, -1):
-                for size in range(1, min(_LONGEST, n - i) + 1):
-                    beta[i] += beta[i + size] * prob[found[i, size - 1]]
-                beta[i] += beta[i + 1] * (odd[i] * _UNSEEN)[:, None]
-            scale = weight[at] / np.maximum(alpha[n], 1e-300)
-            for i in range(n):
-                for size in range(1, min(_LONGEST, n - i) + 1):
-                    hit = found[i, size - 1]
-                    share = alpha[i] * prob[hit] * beta[i + size] * scale
-                    for k in range(len(langs)):
-                        total[:, k] += np.bincount(hit, weights=share[:, k], minlength=rows + 1)
-        total = total[:rows] + _SMOOTH
-        prob[:rows] = total / total.sum(axis=0)
-    return Model(langs, prob, pieces)
-
-
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", vocabulary: str = VOCABULARY, rows_per_lang: int = ROWS_PER_LANG) -> Model:
+    pieces, langs = vocabulary(path), sorted(counts)
+    rows = len(pieces.words)
+    prior = 0.02 ** np.array([len(w) for w in pieces.words], float)  # longer pieces start rarer, as strings of letters are
+    prob = np.vstack([np.repeat((prior / prior.sum())[:, None], len(langs), axis=1), np.full(len(langs), _UNSEEN)])
+    usual = np.zeros((len(langs), 2))
+    for x, lang in enumerate(langs):
+        words = sorted(counts[lang])
+        weight = np.array([counts[lang][w] for w in words])
+        own = prob[:, x : x + 1].copy()
+        codes = [(at[k : k + 20_000], pieces.codes([words[i] for i in at[k : k + 20_000]])) for at in _by_length(words).values() for k in range(0, len(at), 20_000)]
+        groups = [(at, code, _split(pieces.edges(code, 0, len(code)))) for at, code in codes]
+        for _ in range(rounds):
+            total = sum((_expected(pieces, code, lattice, own, weight[at]) for at, code, lattice in groups), np.zeros(rows + 1))
+            own[:rows, 0] = (total[:rows] + _SMOOTH) / (total[:rows] + _SMOOTH).sum()
+        prob[:, x] = own[:, 0]
+        found = Model([lang], own, path, usual[:1]).log_scores(words)[:, 0]
+        letters = np.array([len(w) for w in words], float)
+        mean = (weight * found).sum() / (weight * letters).sum()
+        usual[x] = mean, np.sqrt((weight * (found - mean * letters) ** 2).sum() / (weight * letters).sum())
+    return Model(langs, prob, path, usual)
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", path: str = VOCABULARY, rows_per_lang: int = ROWS_PER_LANG) -> Model:
     """Learn from the rows of ``docs`` whose language and text aren't null, from a bounded sample of each language."""
-    rows = docs.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.pmod(F.xxhash64(id_col), F.lit(1_000_000)).alias("_h"))
+    rows = docs.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), (F.xxhash64(id_col, text_col).cast("double") / 2.0**64 + 0.5).alias("_h"))
     rows = rows.where("_lang is not null and _text is not null")
-    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
-    # one row a language
-    rows = rows.join(F.broadcast(sizes), "_lang").where(F.col("_h") * F.col("_n") < 1_000_000 * rows_per_lang).select("_lang", "_text")
+    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).limit(MOST_LANGS + 1).toArrow()
+    if sizes.num_rows > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    sizes = docs.sparkSession.createDataFrame(sizes, "_lang string, _n long")
+    rows = rows.join(F.broadcast(sizes), "_lang").where(F.col("_h") * F.col("_n") < rows_per_lang).select("_lang", "_text")  # at most MOST_LANGS rows
 
     def count(batches):
         for b in batches:
@@ -165,21 +255,18 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for chunk in text.split():
                     seen[lang, chunk] = seen.get((lang, chunk), 0) + 1
-            for lang in {k[0] for k in seen}:
-                words: dict[str, int] = {}
-                for (x, chunk), n in seen.items():
-                    if x == lang:
-                        for r in runs(chunk):
-                            words[r] = words.get(r, 0) + n
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
-
-    words = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")  # of the bounded sample's words
-    words = words.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= WORDS_PER_LANG)
+            words: dict[tuple, int] = {}
+            for (lang, chunk), n in seen.items():
+                for r in runs(chunk):
+                    words[lang, r] = words.get((lang, r), 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in words], pa.string()), pa.array([k[1] for k in words], pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
+
+    words = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()  # of the bounded sample
     counts: dict[str, dict[str, float]] = {}
-    for lang, word, n in words.select("lang", "word", "n").collect():
-        counts.setdefault(lang, {})[word] = float(n)
-    return train({k: v for k, v in counts.items() if v}, Pieces(vocabulary))
+    for b in words.to_batches():
+        for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            counts.setdefault(lang, {})[word] = float(n)
+    return train(counts, path)
 
 
 class _Scorer:
@@ -190,7 +277,7 @@ class _Scorer:
         self.table = np.empty((1 << 16, len(model.langs) + 1))
 
     def _learn(self, chunks: set[str]) -> None:
-        """Give each new chunk a row: its log score in each language, and how many letter runs it has."""
+        """Give each new chunk a row: its log score in each language, and how many letters it has."""
         new = [c for c in chunks if c not in self.row]
         if not new:
             return
@@ -210,14 +297,16 @@ class _Scorer:
             self.table = np.vstack([self.table[:base], np.empty((max(end, 2 * base) - base, self.table.shape[1]))])
         for k in range(len(self.model.langs)):
             self.table[base:end, k] = np.bincount(owner, weights=rows[:, k], minlength=len(new))
-        self.table[base:end, -1] = sizes
+        self.table[base:end, -1] = np.bincount(owner, weights=np.fromiter(map(len, flat), np.int64, len(flat)), minlength=len(new))
         self.row.update(zip(new, range(base, end), strict=True))
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def score(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, posterior, and by how many deviations (1 at least) of the language's own letters the text's probability a letter falls
+        short of their mean, less what chance does to a text of so few letters."""
         langs = self.model.langs
         if not langs:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        pred, conf = [], []
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        pred, conf, short = [], [], []
         for group in scratch.bounded(texts, len):
             split = [t.split() for t in group]
             self._learn(set().union(*split))
@@ -227,43 +316,51 @@ class _Scorer:
             sums = np.zeros((len(split), len(langs) + 1))
             if len(filled):
                 sums[filled] = np.add.reduceat(self.table[at], ends[filled], axis=0)
-            for s in sums:
-                if not s[-1]:
-                    pred.append(UNKNOWN)
-                    conf.append(0.0)
-                    continue
-                best = int(s[:-1].argmax())
-                pred.append(langs[best])
-                conf.append(float(1.0 / np.exp(s[:-1] - s[best]).sum()))
-        return pred, conf
+            best = sums[:, :-1].argmax(axis=1)
+            top = sums[np.arange(len(split)), best]
+            posterior = 1.0 / np.exp(sums[:, :-1] - top[:, None]).sum(axis=1)
+            letters = np.maximum(sums[:, -1], 1)
+            mean, deviation = self.model.usual[best].T
+            lacking = (mean - top / letters) / np.maximum(deviation, 1.0) - SHORT / np.sqrt(letters)
+            none = sums[:, -1] == 0
+            pred += [UNKNOWN if z else langs[k] for z, k in zip(none, best, strict=True)]
+            conf += np.where(none, 0.0, posterior).tolist()
+            short += np.where(none, 0.0, lacking).tolist()
+        return pred, conf, short
 
 
 _WORKER: dict[str, _Scorer] = {}
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, plus lang_pred and score: the posterior probability of that language, from 0 to 1."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # vocabulary x languages: bounded by the public vocabulary
+def language_of(spark: SparkSession, model: Model, text: Column) -> Column:
+    """A struct of a text's lang_pred, score (the posterior probability of that language, from 0 to 1) and lacking."""
+    shared = spark.sparkContext.broadcast(model)  # vocabulary x at most MOST_LANGS numbers
     token = uuid.uuid4().hex
-    keep = [c for c in docs.columns if c != text_col]
-    slim = docs.select(*keep, F.col(text_col))
-    schema = ", ".join([f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double"])
 
-    def run(batches):
+    @F.arrow_udf("struct<lang_pred: string, score: double, lacking: double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _WORKER.get(token)
         if scorer is None:
             _WORKER.clear()
             scorer = _WORKER[token] = _Scorer(shared.value)
         for b in batches:
-            pred, conf = scorer.score(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(conf, pa.float64())], [*keep, "lang_pred", "score"])
+            pred, conf, short = scorer.score(b.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(conf, pa.float64()), pa.array(short, pa.float64())], ["lang_pred", "score", "lacking"])
 
-    return slim.mapInArrow(run, schema)
+    return run.asNondeterministic()(text)  # so that it's evaluated once
 
 
-def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """``docs`` with unchanged columns, without the texts that are ``und`` or below ``least``."""
-    marked = docs.select("*", F.col("text").alias("_lid_text"))
-    found = identify(marked, model, "_lid_text").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return found.select(*docs.columns)
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without its text, plus lang_pred and score; columns of ``docs`` that have these names are replaced."""
+    own = f"_{uuid.uuid4().hex}"
+    found = docs.withColumn(own, language_of(docs.sparkSession, model, docs[text_col]))
+    return found.withColumn("lang_pred", F.col(own)["lang_pred"]).withColumn("score", F.col(own)["score"]).drop(own, text_col)
+
+
+def accept(docs: DataFrame, model: Model, least: float = LEAST, spread: float = SPREAD, text_col: str = "text") -> DataFrame:
+    """``docs`` with unchanged columns, without texts that are ``und``, whose posterior is below ``least``, or whose
+    probability a letter is further than ``spread`` deviations below what the language gives its own words."""
+    own = f"_{uuid.uuid4().hex}"
+    found = docs.withColumn(own, language_of(docs.sparkSession, model, docs[text_col]))
+    sure = (F.col(own)["lang_pred"] != UNKNOWN) & (F.col(own)["score"] >= least) & (F.col(own)["lacking"] <= spread)
+    return found.where(sure).drop(own)

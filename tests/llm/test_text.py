@@ -158,24 +158,59 @@ def test_language(spark):
     got = [(r["lang_pred"], r["score"]) for r in language.identify(docs(spark, texts).select("doc_id", "text"), model).orderBy("doc_id").collect()]
     assert [g[0] for g in got[:6]] == ["und", "und", "und", "bb", "aa", "bb"]
     assert all(0 <= s <= 1 for _, s in got) and [s for _, s in got[:3]] == [0, 0, 0]
-    kept = language.accept(docs(spark, texts), model)
+    kept = language.accept(docs(spark, texts), model, spread=math.inf)  # six learned words say little about "ünicht"
     assert kept.columns == docs(spark, []).columns and {r["doc_id"] for r in kept.collect()} >= {3, 4, 5}
     empty = language.fit(train.limit(0))
     assert {r["lang_pred"] for r in language.identify(docs(spark, texts), empty).collect()} == {"und"}
 
 
+def plain_total(model, word, k):
+    """The summed probability of all segmentations, by the definition."""
+    index = {w: i for i, w in enumerate(language.vocabulary(model.path).words)}
+    upto = [1.0] + [0.0] * (len(word) + 1)
+    word = "▁" + word
+    for j in range(1, len(word) + 1):
+        upto[j] = sum(upto[i] * model.prob[index[word[i:j]], k] for i in range(max(0, j - 16), j) if word[i:j] in index)
+        upto[j] += upto[j - 1] * 1e-9 * (word[j - 1] not in index)
+    return math.log(upto[len(word)])
+
+
 def test_forward_sums_all_segmentations():
-    pieces = language.Pieces()
-    model = language.train({"x": {"hello": 3.0, "ello": 1.0}}, pieces)
-    index = {int(k): i for i, k in enumerate(pieces.keys)}
+    model = language.train({"x": {"hello": 3.0, "ello": 1.0, "international": 2.0}, "y": {"straße": 1.0, "ab" * 100: 2.0}})
+    for w in ["hello", "internationalinternational", "ab" * 70, "日本", "a𐐀b", "x"]:
+        assert model.log_scores([w])[0] == pytest.approx([plain_total(model, w, k) for k in (0, 1)])
+    assert np.isfinite(model.log_scores(["ab" * 10_000])).all()
+    assert model.prob[:-1].sum(axis=0) == pytest.approx([1, 1])
+
+
+def test_posteriors_of_whole_texts(spark):
+    model = language.train({"bb": {"und": 3.0, "nicht": 1.0}, "aa": {"the": 2.0, "and": 2.0, "of": 1.0}})
+    texts = ["The of, und", "nicht", "THE-and 12 nicht", "a" * 50 + " und the", "x\ny"]
+    got = {r["doc_id"]: r for r in language.identify(docs(spark, texts).select("doc_id", "text"), model).collect()}
+    for k, t in enumerate(texts):
+        total = [sum(plain_total(model, "".join(r), x) for r in __import__("re").findall("[a-z]+", t.lower())) for x in (0, 1)]
+        best = int(total[1] > total[0])
+        assert got[k]["lang_pred"] == model.langs[best] and got[k]["score"] == pytest.approx(1 / sum(math.exp(t - total[best]) for t in total))
+
 
-    def total(s):
-        if not s:
-            return 1.0
-        return sum(model.prob[index[pieces._key(s[:n])], 0] * total(s[n:]) for n in range(1, min(5, len(s)) + 1) if pieces._key(s[:n]) in index)
+def test_letters_and_clashing_columns(spark):
+    model = language.train({"aa": {"the": 2.0, "and": 2.0, "of": 1.0}})
+    rows = [(1, "² ½ Ⅷ ١", "a", 1, 0.5), (2, "the of", "b", 2, None), (3, None, None, None, None), (4, "_½_", "", 0, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, `odd.name` int, Score double")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(df, model).collect()} == {1: "und", 2: "aa", 3: "und", 4: "und"}
+    kept = language.accept(df, model)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [rows[1]]
+    assert language.accept(df.limit(0), model).count() == 0
 
-    assert model.log_scores(["hello"])[0, 0] == pytest.approx(math.log(total("▁hello")))
-    assert abs(model.prob.sum() - 1) < 1e-9
+
+def test_noise_and_other_languages_go(spark):
+    rng = random.Random(2)
+    parts = {"aa": "the and of with that ing tion er".split(), "zz": "kwa yoj qix zug vup fyk".split()}
+    text = lambda x, n: " ".join(rng.choice(parts[x]) + rng.choice(parts[x]) for _ in range(n))
+    train = spark.createDataFrame([(k, text("aa", 40), "aa") for k in range(60)], "doc_id long, text string, lang string")
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600))
+    df = docs(spark, [text("aa", 5), text("aa", 200), text("zz", 100), noise])
+    assert {r["doc_id"] for r in language.accept(df, language.fit(train)).collect()} == {0, 1}
 
 
 def test_model_scores(spark):
