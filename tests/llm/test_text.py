@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from shoal.llm import bpe, bytesplit, chat, language, logbilinear, packing, tokencount, wordbpe
+from shoal.llm import bpe, bytesplit, chat, language, lbltree, logbilinear, packing, tokencount, wordbpe
 
 DOCS = "doc_id long, text string, lang string, source string, ids string, word int, _id int"
 ODD = [
@@ -231,10 +231,77 @@ def test_model_scores(spark):
     assert sum(r["score"] for r in held) > 0.8 * sum(r["base_score"] for r in held) and all(r["score"] <= 0 for r in got.values())
 
 
-def test_model_is_normalised():
-    counts = np.random.default_rng(0).integers(0, 9, (16, 4)).astype(float)
-    logp = logbilinear.train(counts, epochs=5)
-    assert np.exp(logp).sum(axis=1) == pytest.approx(np.ones(16), abs=1e-5)
+def plain_probability(m, two, one, to):
+    """One leaf's probability, by the definition."""
+    h, p = m.x[two] * m.x[-2] + m.x[one] * m.x[-1], 1.0
+    for k in range(lbltree.LEVELS):
+        q, b = m.level(k)
+        to, child = divmod(to, lbltree.FAN)
+        scores = np.array([h @ q[to, j] + b[to, j] for j in range(lbltree.FAN)], float)
+        p *= math.exp(scores[child]) / np.exp(scores).sum()
+    return p
+
+
+def test_tree_is_normalised_and_learns():
+    rng = np.random.default_rng(0)
+    m = lbltree.Model(rng.integers(0, 50, 1500).astype(float))
+    first = rng.integers(0, 1500, 4000)
+    second = (first * 7 + 3) % 1500  # the token before tells the next
+    trainer, before = lbltree.Trainer(m, rng), m.log_probs(first, first, second).mean()
+    for _ in range(60):
+        trainer.step(first, first, second)
+    assert m.log_probs(first, first, second).mean() > before + 1
+    every = np.arange(1500)
+    for two, one in ((0, 3), (1499, 700)):
+        logs = m.log_probs(np.full(1500, two), np.full(1500, one), every)
+        assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+        assert np.exp(logs[::300]) == pytest.approx([plain_probability(m, two, one, k) for k in range(0, 1500, 300)], rel=1e-3)
+
+
+def test_alike_leaves_are_neighbours():
+    follows = np.zeros((200, 8))
+    follows[::2, 1], follows[1::2, 5] = 50, 50
+    order = lbltree.order_leaves(follows)
+    assert sorted(order.tolist()) == list(range(200)) and len(set((order[:96] % 2).tolist())) == 1
+
+
+def test_scores_by_the_definition(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng, seen, real = random.Random(3), {}, logbilinear.train
+
+    def train(coded, leaf, counts, end, workers, **kw):
+        seen.update(leaf=leaf, end=end, workers=workers, model=real(coded, leaf, counts, end, workers, **kw))
+        return seen["model"]
+
+    monkeypatch.setattr(logbilinear, "train", train)
+    monkeypatch.setattr(logbilinear, "PER_WORKER", 900)
+    texts = [None, "odd new!", "b"] + [" ".join(rng.choice(["a b", "c d", "e f g", f"rare{rng.randrange(30)}"]) for _ in range(40)) for _ in range(60)]
+    got = {r["doc_id"]: r for r in logbilinear.score(docs(spark, texts).repartition(5), F.col("doc_id") % 5 == 1, listed=12).collect()}
+    toks = {k: (t or "").encode().lower().split() + [b"\n"] for k, t in enumerate(texts)}
+    c = Counter(w for k, t in toks.items() if k % 5 != 1 for w in t)
+    top = [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:12]]
+    kind = lambda w: int(logbilinear._CLASS[w[-1]])
+    mass = Counter({k: 0.5 for k in range(32)})
+    for w, n in c.items():
+        mass[kind(w)] += (n + 0.5) * (w not in top)
+    assert seen["workers"] > 2
+    for k, t in toks.items():
+        if k % 7 and k > 2:
+            continue
+        leaves = [seen["leaf"][seen["end"]]] * 2 + [seen["leaf"][top.index(w) if w in top else 12 + kind(w)] for w in t]
+        want = sum(math.log10(plain_probability(seen["model"], *leaves[i : i + 3])) for i in range(len(t)))
+        want += sum(math.log10((c[w] + 0.5) / mass[kind(w)]) for w in t if w not in top)
+        assert got[k]["score"] == pytest.approx(want, rel=1e-4)
+
+
+def test_changes_are_averaged_by_examples():
+    rng = np.random.default_rng(1)
+    parts = [(rng.normal(size=(5, lbltree.DIM)), rng.normal(size=5), rng.random((2, 5)), np.array([k, 0, 3, 1, 0])) for k in (1, 2, 5)]
+    packed = [logbilinear._changes(*p) for p in parts]
+    x, b, _, n = logbilinear._read_changes(logbilinear._average(logbilinear._average(packed[0], packed[1]), packed[2]))
+    assert n.tolist() == [8, 0, 9, 3, 0]
+    assert x[0] == pytest.approx(sum(p[0][0] * p[3][0] for p in parts) / 8, abs=3e-3) and b[2] == pytest.approx(np.mean([p[1][2] for p in parts]), abs=1e-5)
 
 
 def test_model_without_training(spark):
