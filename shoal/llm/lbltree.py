@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-FAN, LEVELS, DIM, NOISE, RATE = 32, 3, 32, 8, 0.2
+FAN, LEVELS, DIM, NOISE, RATE, PART = 32, 3, 32, 8, 0.2, 2048
 MOST_LEAVES = FAN**LEVELS
 
 
@@ -81,27 +81,43 @@ class Model:
 
     def log_probs(self, two: np.ndarray, one: np.ndarray, to: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of leaves ``to`` after ``two`` and ``one``."""
-        h, out, node = self.predicted(two, one), np.zeros(len(to)), to
-        for k in range(LEVELS):
-            q, b = self.level(k)
-            child, node = node % FAN, node // FAN
-            order, groups = _grouped(node, len(q))
-            sorted_h, s = h[order], np.empty((len(to), FAN), np.float32)
-            for p, a, z in groups:
-                np.matmul(sorted_h[a:z], q[p].T, out=s[a:z])
-                s[a:z] += b[p]
-            s -= s.max(axis=1, keepdims=True)
-            own = s[np.arange(len(to)), child[order]]
-            out[order] += own - np.log(np.exp(s, out=s).sum(axis=1))
+        order = np.argsort(to.astype(np.uint16), kind="stable")
+        sums, levels = np.zeros(len(to)), _levels(to[order])
+        for a in range(0, len(to), PART):
+            at = order[a : a + PART]
+            h, total = self.predicted(two[at], one[at]), sums[a : a + PART]
+            each, s = np.arange(len(at)), np.empty((len(at), FAN), np.float32)
+            for k, level in enumerate(levels):
+                q, b = self.level(k)
+                for p, _, i, j in level.parts(a, a + len(at)):
+                    np.matmul(h[i:j], q[p].T, out=s[i:j])
+                    s[i:j] += b[p]
+                s -= s.max(axis=1, keepdims=True)
+                total += s[each, level.child[a : a + PART]]
+                total -= np.log(np.exp(s, out=s).sum(axis=1))
+        out = np.empty(len(to))
+        out[order] = sums
         return out
 
 
-def _grouped(node: np.ndarray, nodes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order by node, and (node, from, to) of each group in it."""
-    size = np.bincount(node, minlength=nodes)
-    used = np.flatnonzero(size)
-    ends = np.cumsum(size[used])
-    return np.argsort(node.astype(np.uint16), kind="stable"), list(zip(used.tolist(), (ends - size[used]).tolist(), ends.tolist(), strict=True))
+class _Level:
+    """Leaves in order, seen from one level of the tree: all that share a node stand together."""
+
+    def __init__(self, node: np.ndarray):
+        self.child, parent = node % FAN, node // FAN
+        self.first = np.flatnonzero(np.diff(parent, prepend=-1))
+        self.used, self.size = parent[self.first], np.diff(self.first, append=len(node))
+        self.group = np.repeat(np.arange(len(self.used)), self.size)
+
+    def parts(self, a: int, z: int):
+        """(node, group, from, to) of what lies between places a and z, counted from a."""
+        lo, hi = int(self.group[a]), int(self.group[z - 1]) + 1
+        cuts = [0, *(self.first[lo + 1 : hi] - a).tolist(), z - a]
+        return zip(self.used[lo:hi].tolist(), range(lo, hi), cuts, cuts[1:], strict=False)
+
+
+def _levels(leaves: np.ndarray) -> list[_Level]:
+    return [_Level(leaves // FAN**k) for k in range(LEVELS)]
 
 
 class Trainer:
@@ -126,41 +142,49 @@ class Trainer:
         self.m.b[rows] += d * (self.rate / np.sqrt(square))
 
     def step(self, two: np.ndarray, one: np.ndarray, to: np.ndarray) -> None:
+        """One step along the gradient of a batch. Sorted by leaf, its tokens share nodes in runs at each level; they are
+        gone through in parts that stay in the processor's cache."""
         m, n = self.m, len(to)
-        far, near = m.x[two], m.x[one]
-        h = far * m.x[-2] + near * m.x[-1]
-        back, node, each = np.zeros_like(h), to, np.arange(n)
-        for k in range(LEVELS):
-            q, b = m.level(k)
-            child, node = node % FAN, node // FAN
-            order, groups = _grouped(node, len(q))
-            used, size = np.array([g[0] for g in groups]), np.array([g[2] - g[1] for g in groups])
-            sorted_h, s = h[order], np.empty((n, FAN), np.float32)
-            for p, a, z in groups:
-                np.matmul(sorted_h[a:z], q[p].T, out=s[a:z])
-            s += np.repeat((b - self.expected[k])[used], size, axis=0)
-            np.negative(s, out=s)
-            with np.errstate(over="ignore"):
-                np.exp(s, out=s)
-            s += 1
-            odds = np.reciprocal(s, out=s)  # that a child is data and not noise
-            drawn = self.rng.multinomial(size * self.noise, m.share[k][used])
-            g = np.repeat((-drawn / size[:, None]).astype(np.float32), size, axis=0)
-            g *= odds
-            own = each, child[order]
-            g[own] += 1 - odds[own]
-            dq, down = np.empty((len(used), FAN, DIM), np.float32), np.empty_like(h)
-            for i, (p, a, z) in enumerate(groups):
-                np.matmul(g[a:z].T, sorted_h[a:z], out=dq[i])
-                np.matmul(g[a:z], q[p], out=down[a:z])
-            back[order] += down
-            rows = (m.first[k] + used[:, None] * FAN + np.arange(FAN)).ravel()
-            self._move_biases(rows, np.add.reduceat(g, np.cumsum(size) - size, axis=0).ravel())
-            self._move(rows, dq.reshape(-1, DIM), np.repeat(size, FAN))
-        ids = np.concatenate([two, one])
-        order = np.argsort(ids.astype(np.uint16), kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        d = np.add.reduceat(np.concatenate([back * m.x[-2], back * m.x[-1]])[order], first, axis=0)
-        self._move(ids[order][first], d, np.diff(first, append=len(ids)))
-        by_place = np.stack([(back * far).sum(axis=0), (back * near).sum(axis=0)])
-        self._move(np.array([len(m.x) - 2, len(m.x) - 1]), by_place, np.array([n, n]))
+        order = np.argsort(to.astype(np.uint16), kind="stable")
+        two, one, levels = two[order], one[order], _levels(to[order])
+        drawn = [(-self.rng.multinomial(v.size * self.noise, m.share[k][v.used]) / v.size[:, None]).astype(np.float32) for k, v in enumerate(levels)]
+        shift = [(m.level(k)[1] - self.expected[k])[v.used] for k, v in enumerate(levels)]
+        grads = [np.zeros((len(v.used), FAN, DIM + 1), np.float32) for v in levels]
+        towards, places = np.empty((DIM, 2 * n), np.float32), np.zeros((2, DIM), np.float32)
+        for a in range(0, n, PART):
+            z = min(a + PART, n)
+            each = np.arange(z - a)
+            far, near = m.x[two[a:z]], m.x[one[a:z]]
+            h = np.ones((z - a, DIM + 1), np.float32)  # the last column is that of the biases
+            np.multiply(far, m.x[-2], out=h[:, :DIM])
+            h[:, :DIM] += near * m.x[-1]
+            back, down, s = np.zeros((z - a, DIM), np.float32), np.empty((z - a, DIM), np.float32), np.empty((z - a, FAN), np.float32)
+            for k, level in enumerate(levels):
+                q, parts = m.level(k)[0], list(level.parts(a, z))
+                for p, _, i, j in parts:
+                    np.matmul(h[i:j, :DIM], q[p].T, out=s[i:j])
+                s += shift[k][level.group[a:z]]
+                np.negative(s, out=s)
+                with np.errstate(over="ignore"):
+                    np.exp(s, out=s)
+                s += 1
+                odds = np.reciprocal(s, out=s)  # that a child is data and not noise
+                own = each, level.child[a:z]
+                right = 1 - odds[own]
+                g = np.multiply(odds, drawn[k][level.group[a:z]], out=odds)
+                g[own] += right
+                for p, i_group, i, j in parts:
+                    grads[k][i_group] += g[i:j].T @ h[i:j]
+                    np.matmul(g[i:j], q[p], out=down[i:j])
+                back += down
+            towards[:, a:z], towards[:, n + a : n + z] = (back * m.x[-2]).T, (back * m.x[-1]).T
+            places += np.stack([np.einsum("ij,ij->j", back, far), np.einsum("ij,ij->j", back, near)])
+        for k, level in enumerate(levels):
+            rows = (m.first[k] + level.used[:, None] * FAN + np.arange(FAN)).ravel()
+            self._move_biases(rows, grads[k][:, :, DIM].ravel())
+            self._move(rows, grads[k][:, :, :DIM].reshape(-1, DIM), np.repeat(level.size, FAN))
+        met = np.bincount(np.concatenate([two, one]), minlength=m.leaves)
+        rows = np.flatnonzero(met)
+        ids = (np.cumsum(met > 0) - 1)[np.concatenate([two, one])]
+        self._move(rows, np.stack([np.bincount(ids, weights=towards[d]) for d in range(DIM)], axis=1).astype(np.float32), met[rows])
+        self._move(np.array([len(m.x) - 2, len(m.x) - 1]), places, np.array([n, n]))
