@@ -10,16 +10,18 @@ of a piece emits the rest. States and transitions are compiled when first met, i
 shared by all later texts of the worker (up to a bound, then begun again).
 
 A text is read in chunks. A unit (see ``bytesplit``) starts and ends in the start state, whatever
-stands around it, so its map is one count; a very long piece is cut into chunks whose maps take an
-entry state to an exit state and a count. Maps of a batch compose through a prefix scan.
+stands around it, so its map is one count, and these compose by adding; a very long piece is cut into chunks whose
+maps take each of several entry states to an exit state and a count, and compose through a prefix scan.
 
-Special strings inside texts count as one token, as is the library's default. Null counts as empty;
-repeated rows each get a row; other columns aren't read.
+Defined results: special strings inside texts count as one token, as is the library's default; null counts as
+empty, with no token; texts may be of any length, a run of letters without end included; repeated rows and
+equal ids each get a row; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +34,7 @@ from shoal.llm import bytesplit, scratch
 from shoal.llm.inttable import IntTable
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-LIMIT, _CHUNK, _WARM = 512, 1024, 128
+LIMIT, _CHUNK, _WARM = 512, 1024, (128, 64, 17)
 _STATES, _UNITS = 500_000, 400_000
 
 
@@ -141,39 +143,60 @@ class Transducer:
                 out[k] = self._long(p)
         return out
 
-    def _long(self, piece: bytes) -> int:
+    def _long(self, piece: bytes, size: int = _CHUNK) -> int:
         """Chunk state maps of one piece, composed by a prefix scan.
 
-        A chunk's map is taken at the entry state that the bytes just before it lead to; where the
-        scan finds another entry state, the map is taken there too, and the scan goes on.
+        A chunk's map is taken at the entry states that the bytes before it may lead to: those that readings from
+        several places before the chunk end in. Where the scan comes to a state that a map lacks, the map is
+        taken there too, and the scan is done again; all before that place is right, so this ends.
         """
-        chunks = [piece[k : k + _CHUNK] for k in range(0, len(piece), _CHUNK)]
-        warm = [b""] + [c[-_WARM:] for c in chunks[:-1]]
-        entry, _ = self.run(warm, np.zeros(len(chunks), np.int64))
-        leave, count = self.run(chunks, entry)
+        chunks = [piece[k : k + size] for k in range(0, len(piece), size)]
+        entry = np.full((len(chunks), len(_WARM)), -1, np.int64)
+        entry[0, 0] = 0
+        for c, w in enumerate(_WARM):
+            lanes = [piece[max(0, k * size - w) : k * size] for k in range(1, len(chunks))]
+            entry[1:, c] = self.run(lanes, np.zeros(len(lanes), np.int64))[0]
+        entry[:, 1:][entry[:, 1:] == entry[:, :1]] = -1  # each state once
+        leave, count = np.full_like(entry, -1), np.zeros_like(entry)
+
+        def fill(rows: np.ndarray, column: int) -> None:
+            rows = rows[entry[rows, column] >= 0]
+            leave[rows, column], count[rows, column] = self.run([chunks[i] for i in rows.tolist()], entry[rows, column])
+
+        for c in range(entry.shape[1]):
+            fill(np.arange(len(chunks)), c)
         while True:
-            off = np.flatnonzero(leave[:-1] != entry[1:]) + 1
-            if not len(off):
-                break
-            entry[off[0]] = leave[off[0] - 1]  # all before it are right
-            leave[off[:1]], count[off[:1]] = self.run([chunks[off[0]]], entry[off[:1]])
-        total = scan(entry, leave, count)
-        return int(total[-1] + self.last[leave[-1]])
-
-
-def scan(entry: np.ndarray, leave: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Inclusive prefix scan of maps (entry -> leave, count) in log2(n) doubling steps -> counts.
-
-    ``a then b`` is defined where b's entry is a's exit, and adds the counts; that is associative.
-    """
-    begin, total, step = entry.copy(), count.astype(np.int64), 1
-    while step < len(total):
-        if (leave[: len(total) - step] != begin[step:])[begin[step:] == entry[step:]].any() and step == 1:
-            raise ValueError("maps don't meet")
-        total[step:] = total[step:] + total[:-step]
-        begin[step:] = begin[:-step].copy()
+            to, total = scan(entry, leave, count)
+            lacking = np.flatnonzero(to[:, 0] < 0)
+            if not len(lacking):
+                return int(total[-1, 0] + self.last[to[-1, 0]])
+            i = int(lacking[0])
+            if (entry[i] >= 0).all():
+                entry, leave, count = (np.hstack([x, np.full((len(chunks), 1), v)]) for x, v in ((entry, -1), (leave, -1), (count, 0)))
+            c = int(np.flatnonzero(entry[i] < 0)[0])
+            entry[i, c] = to[i - 1, 0]
+            fill(np.array([i]), c)
+
+
+def compose(first: tuple[np.ndarray, ...], then: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Of maps (entry, leave, count), each [map, state]: ``first`` and ``then`` in turn. A map is undefined, -1, where it has no
+    entry, and so is the composition where it comes to such a state. This is associative."""
+    entry, leave, count = first
+    at = (leave[:, :, None] == then[0][:, None, :]) & (leave[:, :, None] >= 0)
+    ok, to = at.any(axis=2), at.argmax(axis=2)
+    rows = np.arange(len(leave))[:, None]
+    return entry, np.where(ok, then[1][rows, to], -1), np.where(ok, count + then[2][rows, to], 0)
+
+
+def scan(entry: np.ndarray, leave: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inclusive prefix scan of maps by ``compose``, in log2(n) doubling steps -> for each, where all up to it leave the entry
+    states of the first, and with how many tokens."""
+    maps, step = (entry, leave, count), 1
+    while step < len(entry):
+        later = compose(tuple(x[:-step] for x in maps), tuple(x[step:] for x in maps))
+        maps = tuple(np.concatenate([x[:step], y]) for x, y in zip(maps, later, strict=True))
         step *= 2
-    return total
+    return maps[1], maps[2]
 
 
 class Counter:
@@ -184,6 +207,7 @@ class Counter:
         self.find = regex.compile(bytesplit.PATTERN).findall
         self.units: dict[str, int] = {}
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.machine.special, key=len, reverse=True)) or r"(?!)")
+        self.mark = os.path.commonprefix(self.machine.special)  # no special string is in a text without it
 
     def _learn(self, new: set[str], known: dict[str, int], lead: str) -> None:
         new = [u for u in new if u not in known]
@@ -200,7 +224,7 @@ class Counter:
         for group in scratch.bounded(texts, len):
             parts, owner, extra = [], [], np.zeros(len(group), np.int64)
             for k, t in enumerate(group):
-                pieces = self.special.split(t) if "<|" in t else [t]
+                pieces = self.special.split(t) if self.machine.special and self.mark in t else [t]
                 extra[k] = len(pieces) - 1
                 for p in pieces:
                     parts.append(bytesplit.units(p))

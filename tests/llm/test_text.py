@@ -87,8 +87,23 @@ def test_transducer_starts_again_at_its_bound(monkeypatch):
 
 
 def test_scan_composes():
-    e, x, n = np.array([0, 3, 5]), np.array([3, 5, 2]), np.array([4, -1, 7])
-    assert tokencount.scan(e, x, n).tolist() == [4, 3, 10]
+    maps = [np.array(x) for x in ([[0, -1], [3, 4], [5, 6]], [[3, -1], [6, 5], [2, 9]], [[4, 0], [-1, 7], [1, 2]])]
+    to, n = tokencount.scan(*maps)
+    assert to[:, 0].tolist() == [3, 6, 9] and n[:, 0].tolist() == [4, 3, 5]
+    assert tokencount.scan(maps[0], np.array([[8, -1], [6, 5], [2, 9]]), maps[2])[0][:, 0].tolist() == [8, -1, -1]
+    rng = np.random.default_rng(3)
+    a, b, c = (tuple(np.array(x)[None] for x in (rng.permutation(6)[:4], rng.permutation(6)[:4], rng.integers(0, 9, 4))) for _ in range(3))
+    left, right = tokencount.compose(tokencount.compose(a, b), c), tokencount.compose(a, tokencount.compose(b, c))
+    assert all((x == y).all() for x, y in zip(left, right, strict=True))
+
+
+def test_long_pieces_in_chunks_of_any_size():
+    rng = random.Random(6)
+    machine = tokencount.Counter().machine
+    lib = Tokenizer.from_file(tokencount.VOCABULARY)
+    for piece in ["".join(rng.choice("abcdethinsor") for _ in range(300)), "th" * 200, "x", "internationalisation" * 9]:
+        want = len(lib.encode(piece, add_special_tokens=False).ids)
+        assert [machine._long(piece.encode(), size) for size in (1, 2, 3, 5, 7, 64, 1024)] == [want] * 7
 
 
 def test_words_like_the_library():
@@ -134,7 +149,9 @@ def test_exchange_saves_bins(spark):
     items = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
     whole = packing.best_fit_decreasing(np.array(lengths))[2]
     for per_task in (100_000, 100):
-        placed = {r["uid"]: r for r in packing.pack(items, per_task=per_task).collect()}
+        packed = packing.pack(items, per_task=per_task)
+        placed = {r["uid"]: r for r in packed.collect()}
+        assert packing.certificate(items, packed) == (len({r["sequence_id"] for r in placed.values()}), packing.lower_bound(np.array(lengths)))
         assert len(placed) == len(lengths)
         rows = [{"sequence_id": r["sequence_id"], "offset": r["offset"], "length": lengths[u]} for u, r in placed.items()]
         assert check_packed(rows) <= (whole if per_task > 3000 else 1.02 * whole + 2)
@@ -350,6 +367,13 @@ def test_chat_windows_hold_the_budget_and_repeat():
             assert blocks[0][:2] == ("again", "system") and blocks[1][0] == "again"
 
 
+def test_long_turns_without_blanks_have_windows_of_their_own():
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghij") for _ in range(9000))
+    made = list(chat.windows(iter([("user", text), ("assistant", text)] * 3)))
+    assert [w.n_new for w in made] == [1] * 6 and max(len(w.text) for w in made) < 2 * len(text)
+
+
 def test_escape_is_reversible():
     for t in fuzz(50) + ["</s>", "\\</s>", "\\\\</s>", "\\", "<</SYS>>", "[INST]\\[/INST]"]:
         e = chat.escape(t)
