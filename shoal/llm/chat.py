@@ -1,6 +1,6 @@
 """Chat formatting in budgeted windows.
 
-A conversation's turns are laid out in windows of at most ``budget`` tokens. Prefix sums of the
+A conversation's turns are laid out in windows of at most ``budget`` tokens, counted by a public tokenizer. Prefix sums of the
 turns' tokens choose where a window ends, always between turns; a turn longer than the budget has a
 window of its own. Each later window repeats the system turn and the latest earlier turns that fit
 into ``history`` tokens; repeated turns are marked and never trained on. The loss mask covers each
@@ -10,8 +10,8 @@ Control strings inside roles and texts are escaped by one more backslash before
 backslashes that already stand there), which is undone exactly when reading. Roles are kept on one
 line by escaping their line breaks.
 
-Conversations are streamed turn by turn, sorted within their partition: a task holds one window, so
-a conversation of any length is formatted in bounded memory.
+Conversations are streamed turn by turn, sorted within their partition: a task holds one window, of
+the budget's size or of one turn, so a conversation of any number of turns is formatted in bounded memory.
 
 Defined results: null roles and texts count as empty; null turns come first; turns with equal numbers
 are ordered by role and text; rows with a null id are one conversation; an empty table gives an empty
@@ -30,7 +30,11 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from shoal.llm import tokencount
+
+VOCABULARY = tokencount.VOCABULARY
 BUDGET, HISTORY = 2048, 512
 NEW, AGAIN, END = "<|im_start|>", "<|im_again|>", "<|im_end|>"
 _CONTROL = r"<\|im_(?:start|again|end)\|>|</?s>|\[/?(?:INST|SYS)\]|<</?SYS>>"
@@ -55,9 +59,14 @@ def unescape_role(role: str) -> str:
     return unescape(role).replace("%0A", "\n").replace("%25", "%")
 
 
-def count_tokens(text: str) -> int:
-    """White-space-separated words, and four for the marks around a turn."""
-    return len(text.split()) + 4
+_COUNTERS: dict[str, tokencount.Counter] = {}
+
+
+def count_tokens(text: str, vocabulary: str = VOCABULARY) -> int:
+    """Tokens of a public tokenizer, and four for the marks around a turn."""
+    if vocabulary not in _COUNTERS:
+        _COUNTERS[vocabulary] = tokencount.Counter(vocabulary)
+    return int(_COUNTERS[vocabulary].count([text])[0]) + 4
 
 
 @dataclass
@@ -105,7 +114,7 @@ def windows(turns: Iterator[tuple[str, str]], budget: int = BUDGET, history: int
         yield made()
 
 
-def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per window, in order within a conversation: ``id_col``, window, text, loss (spans of characters)."""
     slim = turns.select(F.col(id_col).alias("_id"), F.col(turn_col).alias("_turn"), F.col(role_col).alias("_role"), F.col(text_col).alias("_text"))
     dealt = slim.repartition("_id").sortWithinPartitions("_id", "_turn", "_role", "_text")
@@ -115,7 +124,7 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
         out: list[tuple] = []
         size = 0
         for i, own in _groups(rows):
-            for k, w in enumerate(windows(own, budget, history)):
+            for k, w in enumerate(windows(own, budget, history, lambda t: count_tokens(t, vocabulary))):
                 out.append((i, k, w.text, [{"start": a, "end": b} for a, b in w.spans]))
                 size += len(w.text)
                 if size > 4_000_000:
@@ -125,8 +134,6 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
             yield _batch(out, kinds)
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kinds = [("_id", to_arrow_type(slim.schema["_id"].dataType)), ("window", pa.int64()), ("text", pa.string()), ("loss", span)]
     schema = f"_id {slim.schema['_id'].dataType.simpleString()}, window long, text string, loss array<struct<start:bigint,end:bigint>>"
     return dealt.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
@@ -190,8 +197,6 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
         if out:
             yield _batch(out, kinds)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kinds = [("_id", to_arrow_type(slim.schema["_id"].dataType)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
     schema = f"_id {slim.schema['_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return slim.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
