@@ -3,12 +3,13 @@
 A fingerprint of 64 bits becomes 16 counts of set bits, one per segment of 4 bits. The Manhattan
 distance of two such vectors never exceeds the Hamming distance, so fingerprints within 2 bits lie
 within Manhattan distance 2 and share a grid point at distance at most 1 from both. Every distinct
-fingerprint therefore goes to its own grid point and the up to 32 points one step away; the
-grid range-join pairs those that meet, and the pairs are verified exactly.
+fingerprint therefore goes to its own grid point and the up to 32 points one step away, and only those
+that meet another there go on.
 
-A grid point where more than ``crowd`` fingerprints meet is not paired up: there each fingerprint is
-sent to the 65 bit strings within one flipped bit, and linked with the smallest fingerprint that
-reaches the same string. Such links are exact (within 2 bits) and connect all that pairing would.
+These are verified exactly, in time that is linear however many meet: a fingerprint at a grid point reaches the
+(at most four) bit strings of these counts that differ from it by one bit, or itself at its own point. Two that reach the
+same string are within 2 bits, and any two within 2 bits reach one string at one grid point; so each is linked
+with the smallest fingerprint that reaches the string, which connects all that pairing would.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; a null id
 never names a component while another id is there; repeated rows each get a row; extra columns of
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from shoal.llm import graph, scratch
 
-SEED, SEGMENTS, WIDTH, BITS = 42, 16, 4, 2
-WORDS, MAX_DISTANCE, CROWD = 5, 2, 48
+SEED, SEGMENTS, WIDTH = 42, 16, 4
+WORDS = 5
 _CHUNK = 1 << 15
 
 
@@ -77,40 +78,43 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(run, f"_id {kind}, fp long, text_key long").withColumnRenamed("_id", id_col)
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _grid(fp: Column) -> Column:
-    """The packed counts, 3 bits a segment, and all points one step away."""
-    count = [F.bit_count(fp.bitwiseAND(F.lit(((1 << WIDTH) - 1) << (WIDTH * s) if WIDTH * s < 60 else -(1 << 60)))) for s in range(SEGMENTS)]
+    """(cell, bits): the packed counts, 3 bits a segment, and all points one step away, with the bits that lead there."""
+    masks = [F.lit(_signed(((1 << WIDTH) - 1) << (WIDTH * s))) for s in range(SEGMENTS)]
+    count = [F.bit_count(fp.bitwiseAND(m)) for m in masks]
     own = count[0].cast("long")
     for s in range(1, SEGMENTS):
         own = own + count[s].cast("long") * F.lit(1 << (3 * s))
-    steps = [own]
+    point = lambda cell, bits: F.struct(cell.alias("cell"), bits.alias("bits"))
+    steps = [point(own, F.lit(0).cast("long"))]
     for s in range(SEGMENTS):
-        steps += [F.when(count[s] < WIDTH, own + F.lit(1 << (3 * s))), F.when(count[s] > 0, own - F.lit(1 << (3 * s)))]
+        up, down = F.bitwise_not(fp).bitwiseAND(masks[s]), fp.bitwiseAND(masks[s])
+        steps += [F.when(up != 0, point(own + F.lit(1 << (3 * s)), up)), F.when(down != 0, point(own - F.lit(1 << (3 * s)), down))]
     return F.array_compact(F.array(*steps))
 
 
-def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
+def links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (a, b) within two bits that connect all such pairs."""
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = fps.repartition(tasks, "fp").select("fp", F.explode(_grid(F.col("fp"))).alias("cell"))
-    busy = scratch.stage(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cells", codec="snappy")
-    met = scratch.stage(cells.join(busy, "cell"), "met")
-    near = met.where(F.col("n") <= crowd)
-    pairs = near.select("cell", F.col("fp").alias("a")).join(near.select("cell", F.col("fp").alias("b")), "cell")
-    pairs = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)).select("a", "b")
-    flips = F.array(F.lit(0), *[F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64)])
-    reach = met.where(F.col("n") > crowd).select("fp").distinct().select("fp", F.explode(flips).alias("flip"))
-    reach = reach.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
+    cells = fps.repartition(tasks, "fp").select("fp", F.inline(_grid(F.col("fp"))))
+    busy = scratch.stage(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"), "cells", codec="snappy")
+    single = F.array(*[F.lit(_signed(1 << k)) for k in range(64)])
+    flips = F.when(F.col("bits") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.filter(single, lambda bit: bit.bitwiseAND(F.col("bits")) != 0))
+    reach = cells.join(busy, "cell").select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
+    reach = scratch.stage(reach, "reach")
     first = reach.groupBy("at").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "b")
-    star = reach.join(first, "at").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return pairs.unionByName(star).distinct()
+    return reach.join(first, "at").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, crowd: int = CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per input row: ``id_col``, fingerprint (16 hex digits), component_id (smallest id reachable), text_key."""
     prints = scratch.stage(fingerprints(docs, id_col, text_col, words).select(F.col(id_col).alias("_id"), "fp", "text_key"), "prints")
     groups = scratch.stage(prints.groupBy("fp").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("n")), "groups")
-    parts = scratch.stage(graph.components(links(groups.select("fp"), crowd)), "parts")
+    parts = scratch.stage(graph.components(links(groups.select("fp"))), "parts")
     linked = groups.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left")
     of = linked.where("n > 1 or component is not null").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     of = scratch.stage(of, "of")
