@@ -3,8 +3,9 @@
 A Misra-Gries style frequent-items sketch (Spark's ``approx_top_k``, built on the DataSketches
 frequent-items sketch) names the digests that may be frequent. Their exact winners are verified by
 an aggregate with map-side combining; that table has at most ``counters // 4`` rows, so it is
-broadcast and removes the hot rows before the shuffle. All other digests, each with a bounded share
-of the rows, go through one ordinary shuffle of (id, digest): texts are never shuffled.
+broadcast and removes the hot rows before the shuffle. All other digests go through an ordinary shuffle of
+their partial winners and counts, combined map-side, so no task gets all rows of a digest; the groups of copies
+are joined back to (id, digest), which adaptive execution can split. Texts are never shuffled.
 
 Defined results: null text counts as empty; null ids are smaller than any id; of rows equal in id
 and text one (any, they are the same) stays; an empty table gives an empty result; extra columns of
@@ -13,7 +14,7 @@ the input are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import scratch
@@ -36,10 +37,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cou
     best = F.max(F.struct("_id", "_rid")).alias("_best")
     winners = scratch.stage(slim.join(F.broadcast(named), "_digest").groupBy("_digest").agg(best, F.count(F.lit(1)).alias("_size")), "winners")
     hot = slim.join(F.broadcast(winners), "_digest")
-    w = Window.partitionBy("_digest")
-    rest = slim.join(F.broadcast(winners.select("_digest")), "_digest", "left_anti").select(
-        "_digest", "_id", "_rid", F.max(F.struct("_id", "_rid")).over(w).alias("_best"), F.count(F.lit(1)).over(w).alias("_size")
-    )
+    cold = slim.join(F.broadcast(winners.select("_digest")), "_digest", "left_anti")
+    groups = cold.groupBy("_digest").agg(best, F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    groups = scratch.stage(groups, "copies")
+    alone = F.struct("_id", "_rid")
+    rest = cold.join(groups, "_digest", "left").select("_digest", "_id", "_rid", F.when(F.col("_size").isNull(), alone).otherwise(F.col("_best")).alias("_best"), F.coalesce("_size", F.lit(1)).alias("_size"))
     return hot.select(rest.columns).unionByName(rest).select(
         F.col("_id").alias(id_col),
         F.col("_best._id").alias("keep_id"),
