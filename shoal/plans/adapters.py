@@ -121,10 +121,10 @@ def _lab(code: str) -> list[float]:
 def profiles_sql() -> str:
     d = lambda x: f"{float(x)!r}::DOUBLE"
     lines = []
-    for key, palette, *rest in profiles.rows():
-        targets, weights, keywords = rest[:5], rest[5], rest[11]
-        labs = "[" + ", ".join("[" + ", ".join(map(d, _lab(c))) + "]" for c in palette) + "]"
-        lines.append(f"('{key}', {_list(palette)}, {labs}, {', '.join(map(d, targets))}, {', '.join(d(weights[k]) for k in profiles.WEIGHTS)}, {_list(keywords)})")
+    for p in profiles.rows():
+        labs = "[" + ", ".join("[" + ", ".join(map(d, _lab(c))) + "]" for c in p["palette_hex"]) + "]"
+        targets = ", ".join(d(p[k]) for k in ("brightness", "saturation", "contrast", "warmth", "hue_spread"))
+        lines.append(f"('{p['key']}', {_list(p['palette_hex'])}, {labs}, {targets}, {', '.join(d(p['weights'][k]) for k in profiles.WEIGHTS)}, {_list(p['keywords'])})")
     names = "key, palette_hex, labs, brightness, saturation, contrast, warmth, hue_spread, " + ", ".join(f"w_{k}" for k in profiles.WEIGHTS) + ", keywords"
     return f"profiles({names}) AS (VALUES {', '.join(lines)})"
 

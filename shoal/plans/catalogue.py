@@ -11,6 +11,7 @@ from shoal.functions import numbers, text
 from shoal.operators import ledger, library, report, selection, signal, timeline, website
 from shoal.plans import adapters as A
 from shoal.plans.profiles import profiles
+from shoal.plans.profiles import rows as profile_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -135,8 +136,7 @@ def quality_score(spark, sf_dir):
 
 @query(f"WITH {A.USES} SELECT asset, count(*) AS uses FROM uses GROUP BY ALL")
 def usage_counts(spark, sf_dir):
-    li = A.table(spark, sf_dir, "lineitem")  # uses per part need no join: every line is a use
-    return ledger.usage_counts(li.select(F.col("l_partkey").cast("string").alias("asset")))
+    return ledger.usage_counts(A.uses(spark, sf_dir))
 
 
 @query(f"WITH {A.USES} SELECT asset, max(created_at) AS last_used FROM uses GROUP BY ALL")
@@ -156,11 +156,10 @@ def available_parts(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT max(o_orderdate) AS now FROM orders) SELECT count(*) AS posts, count_if(o_orderdate >= now - INTERVAL 7 DAY)::BIGINT AS posts_last_7_days,
-    (SELECT count(DISTINCT l_partkey) FROM lineitem) AS distinct_assets FROM orders, n""")
+    (SELECT count(DISTINCT l_partkey) FROM lineitem JOIN orders ON o_orderkey = l_orderkey) AS distinct_assets FROM orders, n""")
 def ledger_summary(spark, sf_dir):
     o = A.table(spark, sf_dir, "orders")
-    lines = A.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("asset"))
-    return ledger.summary(A.posts(spark, sf_dir), lines, A.now(o))
+    return ledger.summary(A.posts(spark, sf_dir), A.uses(spark, sf_dir), A.now(o))
 
 
 @query("SELECT o_orderpriority AS preset, count(*) AS posts FROM orders GROUP BY ALL")
@@ -222,8 +221,8 @@ def boards_leaderboard(spark, sf_dir):
 @query(f"WITH {A.PROFILES} SELECT doc_id, key, least(1::DOUBLE, len(list_filter(keywords, lambda k: contains(translate(lower(text), '_-', '  '), k)))::DOUBLE / 2) AS bonus FROM documents, profiles")
 def keyword_bonus(spark, sf_dir):
     d = A.table(spark, sf_dir, "documents").select("doc_id", text.plain(F.col("text")).alias("plain"))
-    p = profiles(spark).select("key", "keywords")
-    return d.join(F.broadcast(p)).select("doc_id", "key", text.keyword_bonus(F.col("plain"), F.col("keywords")).alias("bonus"))  # 13 rows
+    each = [F.struct(F.lit(p["key"]).alias("key"), text.literal_bonus(F.col("plain"), p["keywords"]).alias("bonus")) for p in profile_rows()]
+    return d.select("doc_id", F.inline(F.array(*each)))
 
 
 @query("""WITH t(k, v) AS (VALUES (0, [0.2::DOUBLE, 0.1::DOUBLE, 0.0::DOUBLE]), (1, [-0.1::DOUBLE, 0.0::DOUBLE, 0.1::DOUBLE]), (2, [0.0::DOUBLE, -0.2::DOUBLE, 0.05::DOUBLE])),
@@ -250,14 +249,29 @@ def lab_delta_e(spark, sf_dir):
     return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), r4(numbers.nearest_mean(F.col("x.labs"), None, F.col("y.labs"), 100.0), "distance"))
 
 
-_SIM_NEAR = "list_min(list_transform(b.labs[1:3], lambda t: sqrt(pow(a.labs[{k}][1] - t[1], 2) + pow(a.labs[{k}][2] - t[2], 2) + pow(a.labs[{k}][3] - t[3], 2))))"
+def _like(a: str, b: str) -> str:
+    """SQL of the likeness of two assets."""
+    near = lambda k: f"list_min(list_transform({b}.labs[1:3], lambda t: sqrt(pow({a}.labs[{k}][1] - t[1], 2) + pow({a}.labs[{k}][2] - t[2], 2) + pow({a}.labs[{k}][3] - t[3], 2))))"
+    short = f"least(length({a}.stem), length({b}.stem))"
+    same = f"greatest(8, floor({short} * 0.75::DOUBLE)::INT)"
+    return (
+        f"greatest(0::DOUBLE, least(1::DOUBLE, 0.7::DOUBLE * greatest(0::DOUBLE, least(1::DOUBLE, 1 - ({' + '.join(near(k) for k in (1, 2, 3))}) / 3 / 30))"
+        f" + CASE WHEN {a}.folder = {b}.folder THEN 0.18::DOUBLE ELSE 0 END + CASE WHEN abs({a}.mtime - {b}.mtime) < 60 AND {a}.mtime > 0 THEN 0.22::DOUBLE ELSE 0 END"
+        f" + CASE WHEN {a}.stem = {b}.stem OR ({short} >= 8 AND left({a}.stem, {same}) = left({b}.stem, {same})) THEN 0.15::DOUBLE ELSE 0 END))"
+    )
 
 
-@query(f"WITH {A.PROFILES} SELECT a.key AS a, b.key AS b, round_even(greatest(0, least(1, 0.7::DOUBLE * greatest(0::DOUBLE, least(1::DOUBLE, 1 - ({' + '.join(_SIM_NEAR.format(k=k) for k in range(1, 4))}) / 3 / 30)) + CASE WHEN left(a.key, 1) = left(b.key, 1) THEN 0.18::DOUBLE ELSE 0 END)), 4)::DOUBLE AS similarity FROM profiles a, profiles b WHERE a.key <> b.key")
+_KIN = f"{A.ASSETS}, kin AS (SELECT id, path, kind, labs, 'lib/' || source AS folder, id * 37.0::DOUBLE AS mtime, substr(path, length(source) + 6) AS stem FROM assets)"
+
+
+@query(f"WITH {_KIN} SELECT a.id AS a, b.id AS b, round_even({_like('a', 'b')}, 4) AS similarity FROM kin a JOIN kin b ON a.folder = b.folder AND b.id > a.id AND b.id - a.id <= 40")
 def pair_similarity(spark, sf_dir):
-    p = profiles(spark).select("key", selection.lab_of(F.col("palette_hex")).alias("labs"), F.left("key", F.lit(1)).alias("folder"), F.lit(0.0).alias("mtime"), F.substring("key", 1, 7).alias("stem"))
-    pairs = p.alias("x").join(F.broadcast(p.alias("y")), F.col("x.key") != F.col("y.key"))
-    return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), r4(selection.similarity("x", "y"), "similarity"))
+    """Neighbours of a folder, by a band join: the folder is the equality, the distance of the ids the band."""
+    x = A.assets(spark, sf_dir).withColumn("bucket", F.floor(F.col("id") / 41))
+    on = (F.col("x.folder") == F.col("y.folder")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("y.id") > F.col("x.id")) & (F.col("y.id") - F.col("x.id") <= 40)
+    later = x.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"))))
+    pairs = x.alias("x").join(later.alias("y"), on)
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), r4(selection.similarity("x", "y"), "similarity"))
 
 
 @query("""WITH g AS (SELECT text, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY text) SELECT first, n FROM g WHERE n > 1""")
@@ -279,10 +293,27 @@ def burst_pairs(spark, sf_dir):
     return near.select("a", "b")
 
 
-@query()
+def _greedy_sql(count: int, target: int) -> str:
+    """One table of candidates and one of picks a step."""
+    out = [f"{_KIN.removeprefix(A.ASSETS + ', ')}, c0 AS (SELECT s.preset, s.score, k.*, 0::DOUBLE AS worst, false AS taken, 0 AS videos FROM scored s JOIN kin k USING (id))"]
+    for n in range(count):
+        need, slots = f"greatest(0, {target} - videos)", count - n
+        nudge = f"CASE WHEN kind = 'video' THEN 0.12::DOUBLE * least(1::DOUBLE, {need} / {slots}::DOUBLE) WHEN {need} >= {slots} THEN -0.10::DOUBLE ELSE 0 END"
+        value = f"score - 0.55::DOUBLE * greatest(0::DOUBLE, worst - 0.45::DOUBLE) / 0.55::DOUBLE * 0.60::DOUBLE + {nudge}"
+        out.append(f"p{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY preset ORDER BY worst >= 0.9::DOUBLE, {value} DESC, score DESC, path) AS rn FROM c{n} WHERE NOT taken) WHERE rn = 1)")
+        if n + 1 < count:
+            out.append(
+                f"c{n + 1} AS (SELECT a.preset, a.score, a.id, a.path, a.kind, a.labs, a.folder, a.mtime, a.stem, greatest(a.worst, {_like('a', 'b')}) AS worst, a.taken OR a.path = b.path AS taken, "
+                f"a.videos + (b.kind = 'video')::INT AS videos FROM c{n} a JOIN p{n} b USING (preset))"
+            )
+    picks = " UNION ALL ".join(f"SELECT preset, {n + 1} AS place, path, round_even(score, 4) AS score FROM p{n}" for n in range(count))
+    return f"WITH {_SCORED}, {', '.join(out)} {picks}"
+
+
+@query(_greedy_sql(4, 1))
 def greedy_diverse(spark, sf_dir):
-    """Four for each profile, each as unlike those before as it can be; checked against brute force in the tests."""
-    return selection.greedy_diverse(_scored(spark, sf_dir), 4)
+    """Four for each profile, each as unlike those before as it can be."""
+    return selection.greedy_diverse(_scored(spark, sf_dir), 4).select("preset", "place", "path", r4(F.col("score"), "score"))
 
 
 @query(f"""WITH {_SCORED}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY preset ORDER BY score DESC, path) AS rank FROM scored) WHERE rank <= 8),
@@ -467,10 +498,15 @@ def cyclic_assignment(spark, sf_dir):
     return A.table(spark, sf_dir, "orders").select("o_orderkey", timeline.cycle(["pan", "zoom", "still"], F.col("o_orderkey")).alias("motion"))
 
 
-@query()
+@query("""WITH b AS (SELECT o_orderkey AS board, (4 + o_orderkey % 21)::INT AS total, (3 + o_orderkey % 6)::INT AS shots FROM orders), e AS (SELECT *, unnest(range(shots))::INT AS index FROM b),
+    p AS (SELECT *, (row_number() OVER (PARTITION BY board ORDER BY CASE WHEN index = 0 THEN 0 WHEN index = shots - 1 THEN 1 ELSE 2 END, sha256(board || ':' || index)) - 1)::INT AS place, greatest(1, total // shots) AS base FROM e),
+    one AS (SELECT *, least(shots, total - shots) AS twos FROM p), two AS (SELECT *, total - shots - twos AS left1, least(twos, (total - shots - twos) // 2) AS fours FROM one), four AS (SELECT *, left1 - 2 * fours AS left2 FROM two)
+    SELECT board, index, (CASE WHEN total < shots THEN base + (place < total - base * shots)::INT ELSE 1 + (place < twos)::INT + 2 * (place < fours)::INT
+      + CASE WHEN place < fours THEN left2 // fours + (place < left2 % fours)::INT WHEN fours > 0 THEN 0 ELSE (place < left2)::INT END END)::INT AS beats FROM four""")
 def allocate_beats(spark, sf_dir):
-    """Whole beats shared among an order's shots; its sums and steps are checked in the tests."""
-    b = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("board"), (8 + F.col("o_orderkey") % 17).cast("int").alias("total"), (3 + F.col("o_orderkey") % 6).cast("int").alias("shots"), F.array(F.lit(1), F.lit(2), F.lit(4)).alias("options"))
+    """Whole beats shared among an order's shots, in levels of one, two and four."""
+    key = F.col("o_orderkey")
+    b = A.table(spark, sf_dir, "orders").select(key.alias("board"), (4 + key % 21).cast("int").alias("total"), (3 + key % 6).cast("int").alias("shots"), F.array(F.lit(1), F.lit(2), F.lit(4)).alias("options"))
     return timeline.allocate_beats(b)
 
 
@@ -483,10 +519,10 @@ def beat_grid(spark, sf_dir):
 
 # --- reports ----------------------------------------------------------------------------------
 
-@query(f"""WITH {_SPANS} SELECT board, path, source, CASE source WHEN 'camera' THEN 'own recording' ELSE 'rights to be confirmed' END AS note, count(*)::INT AS n, string_agg(printf('%.3f', round_even(start, 3)), ',' ORDER BY start) AS starts FROM spans GROUP BY ALL""")
+@query(f"""WITH {_SPANS} SELECT board, path, source, CASE source WHEN 'camera' THEN 'own recording' ELSE 'rights to be confirmed' END AS note, count(*)::INT AS n, string_agg(printf('%.3f', round_even(start, 3)) || '+' || printf('%.3f', round_even(visible, 3)), ',' ORDER BY start) AS spans FROM spans GROUP BY ALL""")
 def provenance(spark, sf_dir):
     p = report.provenance(_spans(spark, sf_dir), report.source_notes(spark))
-    return p.select("board", "path", "source", "note", F.size("uses").alias("n"), F.array_join(F.transform("uses", lambda u: F.format_string("%.3f", u["start"])), ",").alias("starts"))
+    return p.select("board", "path", "source", "note", F.size("uses").alias("n"), F.array_join(F.transform("uses", lambda u: F.format_string("%.3f+%.3f", u["start"], u["length"])), ",").alias("spans"))
 
 
 @query("""WITH o AS (SELECT doc_id, lang, ['one', 'Two', 'three', 'four'] AS options, CASE WHEN doc_id % 9 = 0 THEN ['one', 'two', 'three', 'four'] ELSE [' TWO ', lang] END AS used FROM documents),
@@ -577,10 +613,10 @@ def events_order(spark, sf_dir):
     return website.published(e).select("title", "order", F.coalesce("featured", F.lit(False)).alias("featured"))
 
 
-@query("SELECT url, '<url><loc>' || url || '</loc></url>' AS value FROM pages WHERE url IS NOT NULL AND page_id % 10 <> 0")
+@query("SELECT '<url><loc>' || url || '</loc></url>' AS value FROM pages WHERE url IS NOT NULL AND page_id % 10 <> 0")
 def sitemap(spark, sf_dir):
-    p = A.table(spark, sf_dir, "pages").select("url", (F.col("page_id") % 10 == 0).alias("noindex")).where("url is not null and not noindex")
-    return p.select("url", F.concat(F.lit("<url><loc>"), website.absolute(F.col("url"), "https://x"), F.lit("</loc></url>")).alias("value"))
+    p = A.table(spark, sf_dir, "pages").select("url", (F.col("page_id") % 10 == 0).alias("noindex"))
+    return website.sitemap(p, "https://x")
 
 
 @query("SELECT (i)::INT AS i, printf('post-2024-01-01-%02d', i + 1) AS slug, list_extract(['a', 'b', 'c'], 1 + i % 3) AS preset FROM (SELECT unnest(range(7)) AS i)")

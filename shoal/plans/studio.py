@@ -53,8 +53,7 @@ def scan(spark: SparkSession, roots: list[str], index: str, analyse: Callable[[D
     p = F.col("path")
 
     def described(df: DataFrame) -> DataFrame:
-        prints = files.fingerprints(spark, roots)
-        return analyse(df.join(prints, "path", "left").withColumns({"kind": text.kind(p), "source": text.source_label(p)}))
+        return analyse(df.join(files.fingerprints(df), "path", "left").withColumns({"kind": text.kind(p), "source": text.source_label(p)}))
 
     fresh = cut(library.refresh(found, old.limit(0) if force else old, described))
     files.save_table(fresh, index, INDEX_VERSION)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.functions import text
 
+EDGE = 65_536
 PROBE = (
     "struct<format:struct<duration:string,bit_rate:string,tags:map<string,string>>,streams:array<struct<codec_type:string,codec_name:string,width:int,height:int,"
     "avg_frame_rate:string,r_frame_rate:string,duration:string,tags:map<string,string>,side_data_list:array<struct<rotation:double>>>>>"
@@ -35,13 +40,37 @@ def candidates(spark: SparkSession, roots: list[str], limit: int | None = None)
     return out if limit is None else out.orderBy("path").limit(limit)
 
 
-def fingerprints(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """SHA-1 over size, modification second, and the first and last 64 KiB."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
-    head = F.substring("content", 1, 65536)
-    tail = F.when(F.col("length") > 131072, F.expr("substring(content, -65536)")).otherwise(F.lit(b"").cast("binary"))
-    lead = F.concat(F.col("length").cast("string"), F.unix_timestamp("modificationTime").cast("string")).cast("binary")
-    return files.select(F.regexp_replace("path", "^file:", "").alias("path"), F.sha1(F.concat(lead, head, tail)).alias("fingerprint"))
+def fingerprints(found: DataFrame) -> DataFrame:
+    """(path, bytes, mtime) -> (path, fingerprint): SHA-1 over size, modification second, and the first and last 64 KiB.
+
+    Only these bytes are read, of the given files alone; one that can't be read has an empty fingerprint.
+    """
+
+    def one(path: str, size: int, mtime: float) -> str:
+        digest = hashlib.sha1(f"{size}{int(mtime)}".encode())
+        try:
+            with open_file(path) as f:
+                digest.update(f.read_at(min(size, EDGE), 0))
+                if size > 2 * EDGE:
+                    digest.update(f.read_at(EDGE, size - EDGE))
+        except OSError:
+            return ""
+        return digest.hexdigest()
+
+    def run(batches):
+        for b in batches:
+            path, size, mtime = (c.to_pylist() for c in b.columns)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(one, path, size, mtime), pa.string())], ["path", "fingerprint"])
+
+    return found.select("path", "bytes", "mtime").mapInArrow(run, "path string, fingerprint string")
+
+
+def open_file(path: str):
+    """A file on any system that pyarrow reaches, for reads at a place."""
+    if path.startswith("/"):
+        return fs.LocalFileSystem().open_input_file(path)
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
 
 
 def seek_points(duration: Column, n: Column) -> Column:
@@ -70,11 +99,17 @@ def probe_info(payload: Column) -> Column:
 
 def unpack_rgb(frames: DataFrame) -> DataFrame:
     """frames(path, frame, columns, data binary) -> pixels(path, frame, row, col, r, g, b); a partial last pixel is dropped."""
-    h = F.hex("data")
-    n = F.floor(F.octet_length("data") / 3).cast("int")
-    at = frames.where(n > 0).select("path", "frame", "columns", h.alias("h"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
-    byte = lambda j: F.conv(F.substr(F.col("h"), F.col("k") * 6 + 1 + 2 * j, F.lit(2)), 16, 10).cast("int")
-    return at.select("path", "frame", F.floor(F.col("k") / F.col("columns")).cast("int").alias("row"), F.pmod("k", "columns").alias("col"), byte(0).alias("r"), byte(1).alias("g"), byte(2).alias("b"))
+
+    def run(batches):
+        for b in batches:
+            for path, frame, columns, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                n = len(data or b"") // 3
+                rgb = np.frombuffer(data or b"", np.uint8, 3 * n).reshape(n, 3).astype(np.int32)
+                row, col = np.divmod(np.arange(n, dtype=np.int32), np.int32(columns or 1))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(np.full(n, frame, np.int32)), *map(pa.array, (row, col, *rgb.T.copy()))], ["path", "frame", "row", "col", "r", "g", "b"])
+
+    slim = frames.select(F.col("path").cast("string"), F.col("frame").cast("int"), F.col("columns").cast("int"), "data")
+    return slim.mapInArrow(run, "path string, frame int, row int, col int, r int, g int, b int")
 
 
 def read_table(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:

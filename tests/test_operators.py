@@ -85,10 +85,37 @@ def test_kmeans_recovers_planted_clusters(spark):
     assert got["weight"].sum() == pytest.approx(1)
 
 
-@pytest.mark.parametrize(("total", "n"), [(16, 8), (17, 8), (24, 7), (9, 9), (5, 9), (40, 6)])
-def test_allocated_beats_add_up(total, n):
-    got = timeline.allocate(total, list(range(n)), [1, 2, 4])
-    assert len(got) == n and min(got) >= 1 and sum(got) == max(total, n)
+def stepped(total, n, options):
+    """Beats by buying one step at a time."""
+    levels = sorted(set(options or [2]))
+    if total < n * levels[0]:
+        base = max(1, total // n)
+        return [base + (p < total - base * n) for p in range(n)]
+    own, left = [levels[0]] * n, total - n * levels[0]
+    while left:
+        bought = 0
+        for p in range(n):
+            above = [x for x in levels if x > own[p]]
+            price = above[0] - own[p] if above else 1
+            if price <= left:
+                own[p], left, bought = own[p] + price, left - price, bought + 1
+        if not bought:
+            return [x + (p < left) for p, x in enumerate(own)]
+    return own
+
+
+def test_allocated_beats(spark):
+    cases = [(f"b{k}", total, n, options) for k, (total, n, options) in enumerate((t, n, o) for t in (1, 5, 9, 16, 17, 24, 40, 200) for n in (1, 2, 6, 9) for o in ([1, 2, 4], [2], [4, 2, 2], [1, 8], [], None))]
+    df = spark.createDataFrame(cases + [("none", 9, 0, [1])], "board string, total int, shots int, options array<int>")
+    got = {}
+    for r in timeline.allocate_beats(df).collect():
+        got.setdefault(r["board"], {})[r["index"]] = r["beats"]
+    assert len(got) == len(cases)
+    import hashlib
+
+    for board, total, n, options in cases:
+        order = sorted(range(n), key=lambda k: (0 if k == 0 else 1 if k == n - 1 else 2, hashlib.sha256(f"{board}:{k}".encode()).hexdigest()))
+        assert [got[board][k] for k in order] == stepped(total, n, options), (total, n, options)
 
 
 def test_timeline_holds_and_breaks(spark):
@@ -106,6 +133,18 @@ def test_fitted_text_holds_the_safe_width(tracking):
     for t in ("quiet mornings", "SLOW " * 12, "x" * 80, "a", ""):
         lines, size, width = layout.fit(t, 68, 1080, 3, tracking)
         assert len(lines) <= 3 and size >= 14 and (width <= 1080 * layout.SAFE_WIDTH or size == round(68 * layout.MIN_SCALE))
+    assert layout.fit("quiet", 68, 1080)[1] == 68 and layout.fit("", 68, 1080) == ([], 68, 0.0)
+    two = "wide open spaces at dusk"  # on one line at most: the size goes straight to where it fits, less two hundredths
+    assert layout.fit(two, 68, 600, 1)[1] == round(max(68 * 0.62, 68 * 0.98 * 600 * 0.84 / layout.measure(two, 68)))
+
+
+@pytest.mark.parametrize("tracking", [0, 6])
+def test_split_words_fit_and_are_as_long_as_can_be(tracking):
+    for word in ("x" * 80, "Mississippi" * 5, "W"):
+        parts = layout.split_word(word, 60, 300, tracking)
+        assert "".join(parts) == word
+        fits = lambda p: len(p) == 1 or layout.measure(layout.spaced(p, tracking), 60) <= 300
+        assert all(map(fits, parts)) and not any(fits(a + b[0]) for a, b in zip(parts, parts[1:], strict=False))
 
 
 def test_measures_agree(spark):
@@ -172,8 +211,14 @@ def test_listing_and_fingerprints(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x" * 200_000)
     got = files.candidates(spark, [str(tmp_path), str(tmp_path / "b")])
     assert {r["path"].removeprefix(str(tmp_path)) for r in got.collect()} == {"/a.JPG", "/b/c.mov"}
-    prints = files.fingerprints(spark, [str(tmp_path)])
-    assert prints.count() >= 5 and prints.where("length(fingerprint) <> 40").count() == 0
+    prints = {r["path"]: r["fingerprint"] for r in files.fingerprints(got).collect()}
+    import hashlib
+
+    name = f"{tmp_path}/a.JPG"
+    second = str(int((tmp_path / "a.JPG").stat().st_mtime))
+    assert len(prints) == 2 and prints[name] == hashlib.sha1(b"200000" + second.encode() + b"x" * 131_072).hexdigest()
+    gone = spark.createDataFrame([(f"{tmp_path}/none.jpg", 5, 1.0)], "path string, bytes long, mtime double")
+    assert files.fingerprints(gone).first()["fingerprint"] == ""
 
 
 def test_probe(spark):
@@ -245,6 +290,9 @@ def test_website(spark):
 def test_reports(spark):
     posts = spark.createDataFrame([("w", "b", "T", 3, ["x", "y"], "c"), ("w", "a", "S", 1, [], "d")], "plan string, slug string, title string, shots int, sources array<string>, caption string")
     assert report.posting_plan(posts, "slug").orderBy("n").first()["section"].startswith("## 1. S\n- shots: 1")
+    shots = spark.createDataFrame([("b", "p", "camera", 1.0, 2.0, 2.5), ("b", "p", "camera", 0.0, 1.0, 1.5), ("b", "q", "new", 3.0, 1.0, 1.0)], "board string, path string, source string, start double, visible double, length double")
+    got = {r["path"]: (r["note"], [tuple(u) for u in r["uses"]]) for r in report.provenance(shots, report.source_notes(spark)).collect()}
+    assert got == {"p": ("own recording", [(0.0, 1.0), (1.0, 2.0)]), "q": (report.UNCLASSIFIED, [(3.0, 1.0)])}
     assert one(spark, report.suggested_window(F.lit(3))) in {f"{d} {h}" for d, h in report.WINDOWS}
     assert json.loads(report.sidecar(posts).first()["document"])["slug"] in "ab"
 
