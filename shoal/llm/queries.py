@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoal.llm import bpe, chat, embedding_dedup, exact_dedup, language, logbilinear, packing, scratch, simhash, tokencount, warc
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,8 +16,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose crc32(doc_id) mod 3 is not 1."""
-    from shoal.llm import language
-
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = language.fit(docs.where(~F.coalesce(held_out, F.lit(False))))
@@ -24,70 +24,52 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from shoal.llm import exact_dedup
-
     return exact_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from shoal.llm import simhash
-
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from shoal.llm import packing
-
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from shoal.llm import embedding_dedup
-
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one more, -1, whose texts are control strings, formatted and read back."""
-    from shoal.llm import chat
-
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, k, r, "</s>[INST] ok [/INST]") for k, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
     return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from shoal.llm import bpe
-
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the pages as WARC archives, index them, and read every capture back through the index."""
-    from shoal.llm import scratch, warc
-
-    path = scratch.new_path(spark, "warc")
-    warc.write(_table(spark, sf_dir, "pages"), path)
+    """Write the pages as WARC archives, index them, and look every page's URL up in the index."""
+    pages, path = _table(spark, sf_dir, "pages"), scratch.new_path(spark, "warc")
+    warc.write(pages, path)
     index = warc.CaptureIndex.build(spark, path, scratch.new_path(spark, "cdx"))
-    return index.read_all().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.find(pages.select("url")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from shoal.llm import tokencount
-
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"))
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those whose crc32(doc_id) mod 5 is not 1."""
-    from shoal.llm import logbilinear
-
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     return logbilinear.score(_table(spark, sf_dir, "documents"), held_out)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    import corpus_pipeline  # it imports this package's operators; the query is registered only where it's there
 
     return corpus_pipeline.run(spark, sf_dir)
 

@@ -4,23 +4,19 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+from shoal import session
+
 _SEEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where that is unset, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        base = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="shoal-"))
-    _SEEN[app] = spark
-    return f"{base.rstrip('/')}/shoal-{app}"
+    """The folder named by ``spark.checkpoint.dir``; a private one only where a single process is all there is."""
+    _SEEN[spark.sparkContext.applicationId] = spark
+    return session.shared_dir(spark)
 
 
 @atexit.register

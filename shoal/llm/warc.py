@@ -6,16 +6,19 @@ payloads that with the largest page id is the response; the others are revisits
 headers only. The decisions come from a pass over (page_id, digest); only groups of copies go into the
 table that the pages are joined with, so pages are shuffled only when that table is too big to broadcast.
 
-The index: one entry per capture, sorted by reversed-host URL key, cut into blocks of ``PER_BLOCK``
-entries that are compressed, and a sparse directory with the first and last key of each block. A lookup
-binary-searches the directory, then the block, then reads the record's byte range.
-
-Archives are read through ``pyarrow.fs``, so the shared folder must be one that it reaches (local, HDFS,
-S3, GCS, ABFS); the pages themselves are only read by Spark.
-
-Defined results: a null html is an empty payload; null URLs have no target header and the empty key;
-null page ids are smaller than any; of rows equal in id and payload one is the response; equal rows
-each get a record; line breaks and blanks in URLs are percent-encoded; extra columns aren't read.
+The index has two levels, in files of their own. The first: one entry per capture, sorted by reversed-host
+URL key, in compressed blocks of ``PER_BLOCK`` entries. The second: a sparse directory with the first key, the
+last key and the place of each block, in sorted files of about ``PER_FILE`` lines, whose first and last keys
+the driver holds. A search bisects these, then the directory file, reads the block by its byte range, bisects the
+block, and reads the record by its byte range. A key with many captures is as many tasks as it has blocks.
+
+Archives and index are read through ``pyarrow.fs``, so the shared folder must be one that it reaches (local,
+HDFS, S3, GCS, ABFS); the pages themselves are only read by Spark.
+
+Defined results: ids are whole numbers or null; a null html is an empty payload; null URLs have no target header and the
+empty key; null page ids are smaller than any; of rows equal in id and payload one is the response; equal rows
+each get a record; line breaks and blanks in URLs are percent-encoded; an empty table gives no record; extra columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm import scratch
 
-PER_BLOCK, DATE = 1024, "2024-01-01T00:00:00Z"
+PER_BLOCK, PER_FILE, DATE = 1024, 16_384, "2024-01-01T00:00:00Z"
 _GAP = "\r\n\r\n"
 
 
@@ -47,14 +50,16 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def url_key(url: str | None) -> str:
-    """Reversed-host key: scheme, www., fragment, default port and trailing slash don't count; the query does."""
+    """Reversed-host key: scheme, www., fragment, default port and trailing slash don't count; the query does. Line breaks and
+    blanks count as they stand in a record, percent-encoded."""
     if not url:
         return ""
+    url = re.sub("[\\x00-\\x20]", "%20", re.sub("[\r\n]+", "%0D%0A", url))
     try:
-        parts = urlsplit(url.strip())
+        parts = urlsplit(url)
         host, port = (parts.hostname or "").removeprefix("www."), parts.port
     except ValueError:
-        return url.strip().lower()
+        return url.lower()
     where = ",".join(reversed(host.split("."))) + (f":{port}" if port not in (None, 80, 443) else "")
     query = "?" + "&".join(sorted(parts.query.lower().split("&"))) if parts.query else ""
     return f"{where}){parts.path.rstrip('/').lower() or '/'}{query}"
@@ -74,10 +79,12 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     first = F.col("_of").isNull() | F.col("_id").eqNullSafe(F.col("_winner"))
     tied = F.coalesce(F.col("_tied") & first, F.lit(False))
     if copies.where("_tied").isEmpty():
-        out = rows.withColumn("_k", F.lit(1))
+        out = rows.withColumn("_k", F.lit(1).cast("long"))
     else:  # several rows with the winner's id and payload: one of them is the response
-        w = Window.partitionBy("_digest").orderBy("_url")
-        out = rows.where(~tied).withColumn("_k", F.lit(1)).unionByName(rows.where(tied).withColumn("_k", F.row_number().over(w)))
+        alike = scratch.stage(rows.where(tied).withColumn("_rid", F.monotonically_increasing_id()), "alike")
+        one = alike.groupBy("_digest").agg(F.min("_rid").alias("_one"))
+        alike = alike.join(one, "_digest").withColumn("_k", F.when(F.col("_rid") == F.col("_one"), 1).otherwise(F.col("_rid") + 2))
+        out = rows.where(~tied).withColumn("_k", F.lit(1).cast("long")).unionByName(alike.drop("_rid", "_one"))
     out = out.withColumn("_response", first & (F.col("_k") == 1))
     name = lambda i, d: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), d)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("_size"), F.lit(_GAP))
@@ -135,92 +142,160 @@ def _scan(path: str, size: int, window: int = 1 << 16):
 
 
 def _entries(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length")
-
     def run(batches):
         for b in batches:
             for p, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 out = [(url_key(h.get("WARC-Target-URI")), h.get("WARC-Target-URI"), p, at, n) for at, n, h in _scan(p, size)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "url", "file", "start", "length"])
 
-    return files.mapInArrow(run, "key string, url string, file string, start long, length long")
+    return _files(spark, path).mapInArrow(run, "key string, url string, file string, start long, length long")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length").where("length > 0")
+
+
+def _lines(path: str, size: int, window: int = 1 << 20):
+    """(offset, line) of a text file, read in stretches."""
+    with _open(path) as f:
+        at, rest = 0, b""
+        for k in range(0, size, window):
+            *whole, rest = (rest + f.read_at(min(window, size - k), k)).split(b"\n")
+            for line in whole:
+                yield at, line
+                at += len(line) + 1
 
 
 @dataclass
 class CaptureIndex:
-    """``blocks``: first_key, last_key, block (its place in key order within its file), n, data."""
+    """``top``: first key, last key and path of each file of the directory, in order; one for ``PER_FILE * PER_BLOCK`` captures or so."""
 
     spark: SparkSession
-    path: str
+    top: list[tuple[str, str, str]]
 
     @classmethod
-    def build(cls, spark: SparkSession, archives: str, path: str, per_block: int = PER_BLOCK) -> CaptureIndex:
+    def build(cls, spark: SparkSession, archives: str, path: str, per_block: int = PER_BLOCK, per_file: int = PER_FILE) -> CaptureIndex:
         entries = _entries(spark, archives).repartitionByRange(F.col("key"), F.col("file"), F.col("start"))
         entries = entries.sortWithinPartitions("key", "file", "start")
 
-        def run(batches):
-            have: list[dict] = []
+        def blocks(batches):
+            have: list[tuple] = []
             for b in batches:
-                have += b.to_pylist()
-                while len(have) >= per_block:
-                    yield _block(have[:per_block])
-                    have = have[per_block:]
+                have += zip(*(c.to_pylist() for c in b.columns), strict=True)
+                full = len(have) // per_block * per_block
+                yield pa.RecordBatch.from_arrays([pa.array([_packed(have[k : k + per_block]) for k in range(0, full, per_block)], pa.string())], ["value"])
+                have = have[full:]
             if have:
-                yield _block(have)
+                yield pa.RecordBatch.from_arrays([pa.array([_packed(have)], pa.string())], ["value"])
+
+        entries.mapInArrow(blocks, "value string").write.text(f"{path}/blocks")
 
-        entries.mapInArrow(run, "first_key string, last_key string, n int, data binary").write.parquet(path)
-        return cls(spark, path)
+        def places(batches):
+            for b in batches:
+                for file, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    rows = []
+                    for at, line in _lines(file, size):
+                        have = _unpacked(line)
+                        rows.append((have[0][0], have[-1][0], file, at, len(line)))
+                    yield _batch(rows, _PLACE)
+
+        found = scratch.stage(_files(spark, f"{path}/blocks").mapInArrow(places, _schema(_PLACE)), "places")
+        lines = found.repartitionByRange(max(1, -(-found.count() // per_file)), "first", "last", "file", "start").sortWithinPartitions("first", "last", "file", "start")
+        lines.select(F.to_json(F.array(*[F.col(c).cast("string") for c in _PLACE]))).write.text(f"{path}/directory")
+
+        def ends(batches):
+            for b in batches:
+                for file, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    own = _directory(file, size)
+                    yield _batch([(own[0][0], own[-1][1], file)], _TOP)
 
-    @property
-    def blocks(self) -> DataFrame:
-        return self.spark.read.schema("first_key string, last_key string, n int, data binary").parquet(self.path)
+        top = _files(spark, f"{path}/directory").mapInArrow(ends, _schema(_TOP)).collect()
+        return cls(spark, sorted(map(tuple, top)))
 
-    def lookup(self, urls: list[str]) -> DataFrame:
-        """Records of the captures of these URLs (a list that the caller holds, so it is small)."""
-        keys = sorted({url_key(u) for u in urls})
+    def locate(self, urls: DataFrame) -> DataFrame:
+        """The blocks to read: key, file, start, length; a row for each key and block that may hold it. ``urls`` has one column."""
+        wanted = urls.select(F.col(urls.columns[0]).alias("url")).distinct().mapInArrow(_keys, "key string").distinct()
+        wanted = wanted.repartitionByRange("key").sortWithinPartitions("key")
+        top = self.top
 
         def run(batches):
+            opened: tuple[str, list, list] = ("", [], [])
             for b in batches:
-                for first, last, data in zip(*(b.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
-                    wanted = keys[bisect_left(keys, first) : bisect_right(keys, last)]
-                    if not wanted:
-                        continue
-                    have = _unpack(data)
-                    own = [e[0] for e in have]
-                    hits = [e for k in wanted for e in have[bisect_left(own, k) : bisect_right(own, k)]]
-                    yield _entry_batch(hits)
-
-        # the directory's columns carry minima and maxima in each file, so most blocks aren't read at all
-        found = self.blocks.where((F.col("last_key") >= (keys or [""])[0]) & (F.col("first_key") <= (keys or [""])[-1]))
-        return _read(found.mapInArrow(run, _ENTRY))
-
-    def read_all(self) -> DataFrame:
-        """Every record, block by block, by the byte range that its entry gives."""
+                rows = []
+                for key in b.column(0).to_pylist():
+                    for _, _, path in _between(top, [t[1] for t in top], key):
+                        if opened[0] != path:
+                            own = _directory(path)
+                            opened = path, own, [r[1] for r in own]
+                        rows += [(key, *r[2:]) for r in _between(opened[1], opened[2], key)]
+                yield _batch(rows, _WANTED)
+
+        return wanted.mapInArrow(run, _schema(_WANTED))
+
+    def find(self, urls: DataFrame) -> DataFrame:
+        """Records of all captures of these URLs (one column; repeats and nulls are looked up once)."""
+        dealt = self.locate(urls).repartition("file", "start").sortWithinPartitions("file", "start", "key")
 
         def run(batches):
+            name, have, own = None, [], []
             for b in batches:
-                for data in b.column(3).to_pylist():
-                    yield _entry_batch(_unpack(data))
+                rows = []
+                for key, file, start, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if (file, start) != name:
+                        with _open(file) as f:
+                            have = _unpacked(f.read_at(length, start))
+                        name, own = (file, start), [e[0] for e in have]
+                    rows += have[bisect_left(own, key) : bisect_right(own, key)]
+                yield _batch(rows, _ENTRY)
+
+        return _read(dealt.mapInArrow(run, _schema(_ENTRY)))
+
+    def lookup(self, urls: list[str]) -> DataFrame:
+        """Records of all captures of a list of URLs that the caller holds."""
+        return self.find(self.spark.createDataFrame([(u,) for u in urls], "url string"))
+
+
+_ENTRY = {"key": pa.string(), "url": pa.string(), "file": pa.string(), "start": pa.int64(), "length": pa.int64()}
+_PLACE = {"first": pa.string(), "last": pa.string(), "file": pa.string(), "start": pa.int64(), "length": pa.int64()}
+_WANTED = {"key": pa.string(), "file": pa.string(), "start": pa.int64(), "length": pa.int64()}
+_TOP = {"first": pa.string(), "last": pa.string(), "path": pa.string()}
+_RECORD = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "refers_to": pa.int64()}
 
-        return _read(self.blocks.mapInArrow(run, _ENTRY))
 
+def _schema(kinds: dict) -> str:
+    return ", ".join(f"{k} {'long' if t == pa.int64() else 'string'}" for k, t in kinds.items())
 
-_ENTRY = "key string, url string, file string, start long, length long"
-_RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long"
 
+def _batch(rows: list, kinds: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
 
-def _block(rows: list[dict]) -> pa.RecordBatch:
-    data = zlib.compress("\n".join(json.dumps([r["key"], r["url"], r["file"], r["start"], r["length"]]) for r in rows).encode(), 6)
-    return pa.RecordBatch.from_arrays([pa.array([rows[0]["key"]]), pa.array([rows[-1]["key"]]), pa.array([len(rows)], pa.int32()), pa.array([data])], ["first_key", "last_key", "n", "data"])
+
+def _keys(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], ["key"])
+
+
+def _between(rows: list, last: list[str], key: str):
+    """Of rows (first, last, ...) in order, those with first <= key <= last."""
+    at = bisect_left(last, key)
+    while at < len(rows) and rows[at][0] <= key:
+        yield rows[at]
+        at += 1
+
+
+def _directory(path: str, size: int | None = None) -> list[tuple]:
+    """A whole file of the directory, of about ``PER_FILE`` lines."""
+    with _open(path) as f:
+        raw = f.read_at(size or f.size(), 0)
+    return [(a, b, c, int(d), int(e)) for a, b, c, d, e in map(json.loads, raw.decode().split("\n")[:-1])]
 
 
-def _unpack(data: bytes) -> list[list]:
-    return [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
+def _packed(rows: list[tuple]) -> str:
+    return base64.b64encode(zlib.compress("\n".join(map(json.dumps, rows)).encode(), 6)).decode()
 
 
-def _entry_batch(rows: list) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["key", "url", "file", "start", "length"])
+def _unpacked(line: bytes) -> list[list]:
+    return [json.loads(x) for x in zlib.decompress(base64.b64decode(line)).decode().split("\n")]
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int]:
@@ -253,9 +328,8 @@ def _read(entries: DataFrame) -> DataFrame:
                 h, _, size = parse_record(f.read_at(n, at))
                 refers = h.get("WARC-Refers-To")
                 out.append((_page(h["WARC-Record-ID"]), url, h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:"), size, _page(refers) if refers else None))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to"])
+            yield _batch(out, _RECORD)
         if f is not None:
             f.close()
 
-    return dealt.mapInArrow(run, _RECORD)
+    return dealt.mapInArrow(run, _schema(_RECORD))

@@ -10,10 +10,14 @@ def digest(html):
     return base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
 
 
-def build(spark, rows, per_block=4):
+def build(spark, rows, per_block=4, per_file=3):
     path = scratch.new_path(spark, "warc")
-    warc.write(spark.createDataFrame([(*r, "k", "f", "d") for r in rows], PAGES), path)
-    return warc.CaptureIndex.build(spark, path, scratch.new_path(spark, "cdx"), per_block)
+    warc.write(pages(spark, rows), path)
+    return warc.CaptureIndex.build(spark, path, scratch.new_path(spark, "cdx"), per_block, per_file)
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "k", "f", "d") for r in rows], PAGES)
 
 
 ROWS = [
@@ -23,7 +27,7 @@ ROWS = [
 
 
 def test_records_come_back(spark):
-    got = build(spark, ROWS).read_all().collect()
+    got = build(spark, ROWS).find(pages(spark, ROWS).select("url")).collect()
     assert len(got) == len(ROWS)
     winner = {}
     for i, _, h in ROWS:
@@ -44,8 +48,20 @@ def test_lookup(spark):
     assert index.lookup([]).count() == 0
 
 
+def test_a_lookup_reads_only_the_blocks_that_may_hold_its_key(spark):
+    rows = [(k, f"http://h{k:04d}.com/", f"p{k}") for k in range(200)] + [(1000 + k, "http://same.com/", f"q{k}") for k in range(50)]
+    index = build(spark, rows)
+    url = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
+    assert len(index.top) > 3 and all(a[1] <= b[0] for a, b in zip(index.top, index.top[1:], strict=False))
+    assert index.locate(url("http://h0100.com/")).count() == 1
+    assert index.locate(url("http://h0100.com/", "http://h0101.com/", "http://zzz.com")).select("file", "start").distinct().count() <= 2
+    many = index.locate(url("http://same.com/", None, "http://same.com")).count()
+    assert 13 <= many <= 16  # 50 captures in blocks of four, which may begin and end elsewhere
+    assert {r["page_id"] for r in index.lookup(["http://same.com/"]).collect()} == set(range(1000, 1050))
+
+
 def test_no_pages(spark):
-    assert build(spark, []).read_all().count() == 0
+    assert build(spark, []).lookup(["http://a.com"]).count() == 0
 
 
 def test_url_keys():
