@@ -12,6 +12,7 @@ from shoal.operators import ledger, library, report, selection, signal, timeline
 from shoal.plans import adapters as A
 from shoal.plans.profiles import profiles
 from shoal.plans.profiles import rows as profile_rows
+from shoal.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -535,6 +536,27 @@ def caption_pick(spark, sf_dir):
     return d.select("doc_id", report.pick(options, used, F.col("doc_id")).alias("pick"))
 
 
+@query("""WITH RECURSIVE pools AS (SELECT r_regionkey AS rk, r_name AS preset, list(n_name ORDER BY n_name) AS hooks FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL),
+    posts AS (SELECT r_name AS preset, 's' || s_suppkey AS slug, row_number() OVER (PARTITION BY r_name ORDER BY s_suppkey) AS pos FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    fold(preset, pos, slug, hook, used) AS (
+      SELECT preset, 0::BIGINT, '', '', []::VARCHAR[] FROM pools
+      UNION ALL
+      SELECT preset, pos, slug, hook, list_append(used, lower(trim(hook))) FROM (
+        SELECT preset, pos, slug, used, list_sort(list_transform(CASE WHEN len(fresh) > 0 THEN fresh ELSE hooks END, lambda x: {'h': sha256('hook' || chr(31) || preset || chr(31) || slug || chr(31) || x), 'o': x}))[1].o AS hook
+        FROM (SELECT q.*, f.used, p.hooks, list_filter(p.hooks, lambda x: NOT list_contains(f.used, lower(trim(x)))) AS fresh FROM fold f JOIN posts q ON q.preset = f.preset AND q.pos = f.pos + 1 JOIN pools p ON p.preset = f.preset)))
+    SELECT preset, pos, slug, hook, 'b' || preset AS caption FROM fold WHERE pos > 0""")
+def copy_batch(spark, sf_dir):
+    """A batch a region: hooks are its nations, each used once before any is used again."""
+    n = A.table(spark, sf_dir, "nation").join(A.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    none = F.array().cast("array<string>")
+    pools = n.groupBy(F.col("r_name").alias("preset")).agg(F.array_sort(F.collect_list("n_name")).alias("hooks"))
+    pools = pools.select("preset", F.lit("t").alias("title"), F.concat(F.lit("b"), "preset").alias("blurb"), "hooks", none.alias("captions"), none.alias("ctas"), F.lit("").alias("signoff"), *[none.alias(c) for c in report.REACH])
+    s = A.table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    w = Window.partitionBy("r_name").orderBy("s_suppkey")
+    posts = s.select(F.col("r_name").alias("preset"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("slug"), F.row_number().over(w).cast("long").alias("pos"))
+    return report.write_batch(posts, pools).select("preset", "pos", "slug", "hook", "caption")
+
+
 @query("""WITH t AS (SELECT event_type AS key, CASE WHEN user_id % 3 = 0 THEN 'broad' WHEN user_id % 3 = 1 THEN 'niche' ELSE 'micro' END AS pool, 'u' || user_id AS tag FROM events GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY key, pool ORDER BY sha256(key || chr(31) || tag), tag) AS n FROM t)
     SELECT key, string_agg('#' || tag, ' ' ORDER BY CASE pool WHEN 'broad' THEN 0 WHEN 'niche' THEN 1 ELSE 2 END, n) AS hashtags FROM r WHERE n <= CASE pool WHEN 'niche' THEN 3 ELSE 2 END GROUP BY key""")
@@ -631,3 +653,103 @@ def click_counts(spark, sf_dir):
 
     c = live.click_counts(A.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return c.select("event_type", F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "n")
+
+
+# --- probes, captions, crops, pages: operators of a row ---------------------------------------------
+
+@query("""SELECT p_partkey, round_even(CASE WHEN p_size % 7 <= 1 OR p_size / 25.0::DOUBLE <= 0.2 THEN NULL ELSE 0.05::DOUBLE * (p_size / 25.0::DOUBLE) + 0.9::DOUBLE * (p_size / 25.0::DOUBLE) * k / greatest(1, p_size % 7 - 1) END, 4) AS at
+    FROM (SELECT p_partkey, p_size, unnest(CASE WHEN p_size % 7 <= 1 OR p_size / 25.0::DOUBLE <= 0.2 THEN [0] ELSE range(p_size % 7) END) AS k FROM part)""")
+def seek_points(spark, sf_dir):
+    points = files.seek_points(F.col("p_size") / 25.0, F.col("p_size") % 7)
+    return A.table(spark, sf_dir, "part").select("p_partkey", F.explode(points).alias("at")).select("p_partkey", r4(F.col("at"), "at"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0 WHEN p_partkey % 4 IN (1, 3) THEN 100 + p_size ELSE 200 + p_size END::INT AS width, CASE WHEN p_partkey % 5 = 0 THEN 0 WHEN p_partkey % 4 IN (1, 3) THEN 200 + p_size ELSE 100 + p_size END::INT AS height,
+    CASE WHEN p_partkey % 3 = 0 THEN p_size * 0.5::DOUBLE ELSE 0 END::DOUBLE AS duration, CASE WHEN p_partkey % 5 = 0 THEN 0 WHEN p_size % 4 = 0 THEN 0 ELSE round_even(30000.0::DOUBLE / (1000 + p_size), 4) END::DOUBLE AS fps, p_partkey % 6 = 0 AS has_audio, CASE WHEN p_partkey % 2 = 0 THEN 'd' || p_size END AS created FROM part""")
+def probe_rows(spark, sf_dir):
+    """Probe JSON with turned frames, missing streams and odd rates, read to typed columns."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    video = F.format_string(
+        '{"codec_type": "video", "width": %d, "height": %d, "avg_frame_rate": "%s", "tags": {"rotate": "%d"}}', s + 200, s + 100,
+        F.when(s % 4 == 0, "0/0").otherwise(F.concat(F.lit("30000/"), (s + 1000).cast("string"))), k % 4 * 90,
+    )
+    streams = F.array_join(F.array_compact(F.array(F.when(k % 6 == 0, '{"codec_type": "audio"}'), F.when(k % 5 != 0, video))), ", ")
+    head = F.array_join(F.array_compact(F.array(F.when(k % 3 == 0, F.concat(F.lit('"duration": "'), (s * 0.5).cast("string"), F.lit('"'))), F.when(k % 2 == 0, F.format_string('"tags": {"Creation_Time": "d%d"}', s)))), ", ")
+    info = files.probe_info(F.concat(F.lit('{"format": {'), head, F.lit('}, "streams": ['), streams, F.lit("]}")))
+    p = A.table(spark, sf_dir, "part").select("p_partkey", info.alias("i"))
+    return p.select("p_partkey", "i.width", "i.height", "i.duration", r4(F.col("i.fps"), "fps"), "i.has_audio", "i.created")
+
+
+@query("""WITH p AS (SELECT p_partkey, lower(p_name) AS body, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN split_part(lower(p_name), ' ', 1) ELSE 'see more' END AS cta, '#' || lower(p_brand) AS tag, least(1::DOUBLE, p_size::DOUBLE / 40) AS v FROM part)
+    SELECT p_partkey, body || CASE WHEN contains(body, cta) THEN '' ELSE chr(10) || chr(10) || cta END || chr(10) || chr(10) || tag || ' #x' AS caption, array_to_string(list_transform(string_split(body, ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') AS title,
+    array_to_string(list_transform(string_split(body, ' '), lambda w: array_to_string(string_split(w, ''), ' ')), '   ') AS spaced, repeat('#', round_even(v * 20, 0)::INT) || repeat('-', 20 - round_even(v * 20, 0)::INT) AS meter FROM p""")
+def caption_texts(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part")
+    body, s = F.lower("p_name"), F.col("p_size")
+    cta = F.when(s % 3 == 0, "").when(s % 3 == 1, F.split_part(body, F.lit(" "), F.lit(1))).otherwise("see more")
+    tags = F.array(text.hashtag(F.lower("p_brand")), text.hashtag(F.lit("#x")))
+    return p.select("p_partkey", text.full_caption(body, cta, tags).alias("caption"), text.title_case(body).alias("title"), text.tracked(body, 6).alias("spaced"), text.meter(s / 40.0).alias("meter"))
+
+
+_SEEDED = "('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 8))::BIGINT % 4"
+
+
+@query(f"SELECT o_orderkey, list_extract([{', '.join(repr(f'{d} {h}') for d, h in report.WINDOWS)}], 1 + {_SEEDED}) AS posting_window FROM orders")
+def posting_windows(spark, sf_dir):
+    return A.table(spark, sf_dir, "orders").select("o_orderkey", report.suggested_window(F.col("o_orderkey")).alias("posting_window"))
+
+
+@query("""SELECT p_partkey, greatest(3, round_even((p_size + 4) / greatest(0.6::DOUBLE, least(2.4::DOUBLE, 1.5::DOUBLE * (60.0::DOUBLE / (60 + p_size)))), 0))::INT AS shots FROM part""")
+def shot_counts(spark, sf_dir):
+    s = F.col("p_size")
+    n = timeline.suggest_shot_count(s + 4, (s + 60).cast("double"), F.array(F.lit(1), F.lit(2)), F.lit(0.6), F.lit(2.4))
+    return A.table(spark, sf_dir, "part").select("p_partkey", n.alias("shots"))
+
+
+@query("""WITH p AS (SELECT p_partkey, (1 + p_size) * 20 AS w, 640 AS h, (p_partkey % 21)::DOUBLE / 20 AS x, (p_partkey % 13)::DOUBLE / 12 AS y, (p_partkey % 10)::DOUBLE / 10 AS conf, 0.5625::DOUBLE AS t FROM part),
+    a AS (SELECT *, w::DOUBLE / h AS aspect, w::DOUBLE / h > t AS wide, CASE WHEN w::DOUBLE / h > t THEN t / (w::DOUBLE / h) ELSE (w::DOUBLE / h) / t END AS share FROM p)
+    SELECT p_partkey, CASE WHEN moved THEN CASE WHEN wide THEN 'x' ELSE 'y' END END AS axis, CASE WHEN moved THEN round_even(greatest(0::DOUBLE, least(1::DOUBLE, (CASE WHEN wide THEN x ELSE y END - share / 2) / (1 - share))), 4) END AS fraction,
+    greatest(0, least(w - 360, round_even(x * w - 180, 0)))::INT AS start FROM (SELECT *, conf >= 0.12::DOUBLE AND abs(aspect - t) > 1e-6::DOUBLE AS moved FROM a) z""")
+def crop_positions(spark, sf_dir):
+    k, w = F.col("p_partkey"), (F.col("p_size") + 1) * 20
+    x, y = k % 21 / 20.0, k % 13 / 12.0
+    at = signal.crop_position(x, y, k % 10 / 10.0, w, F.lit(640), 0.5625)
+    p = A.table(spark, sf_dir, "part").select("p_partkey", at.alias("c"), signal.crop_offset(x, w, F.lit(360)).alias("start"))
+    return p.select("p_partkey", "c.axis", r4(F.col("c.fraction"), "fraction"), "start")
+
+
+@query("SELECT conv_id, turn, (row_number() OVER w)::INT AS index, lead(turn) OVER w IS NULL AS last FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def loop_marks(spark, sf_dir):
+    c = A.table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return website.loop_marks(c, "conv_id", "turn").select("conv_id", "turn", F.col("index").cast("int").alias("index"), "last")
+
+
+@query("""SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ''), source, 'none') AS shown FROM documents WHERE doc_id % 2 = 0 AND coalesce(lang, '') <> ''""")
+def announcements(spark, sf_dir):
+    """What is enabled and has a text, with the first of several options that isn't empty."""
+    d = A.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.col("lang").alias("text"), (F.col("doc_id") % 2 == 0).alias("enabled"))
+    shown = text.first_truthy(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")), F.col("source"), F.lit("none"))
+    return website.announcement(d).select("doc_id", shown.alias("shown"))
+
+
+@query("""SELECT n_regionkey AS plan, n::INT AS n, '## ' || n || '. ' || n_name || chr(10) || '- shots: ' || n_nationkey || chr(10) || '- sources: a, ' || lower(n_name) || chr(10) || '- caption: c' AS section
+    FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS n FROM nation)""")
+def posting_sections(spark, sf_dir):
+    n = A.table(spark, sf_dir, "nation")
+    posts = n.select(F.col("n_regionkey").alias("plan"), F.col("n_name").alias("title"), F.col("n_nationkey").cast("string").alias("shots"), F.array(F.lit("a"), F.lower("n_name")).alias("sources"), F.lit("c").alias("caption"))
+    return report.posting_plan(posts, "title")
+
+
+@query("""SELECT ts_day, website_day, count(*) AS n FROM (SELECT dayname(ts) AS ts_day, substr(dayname(ts), 1, 3) AS website_day FROM events) GROUP BY ALL""")
+def short_days(spark, sf_dir):
+    day = F.date_format("ts", "EEEE")
+    return A.table(spark, sf_dir, "events").groupBy(day.alias("ts_day"), website.short_day(day).alias("website_day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT a.key AS a, b.key AS b, round_even(a.labs[1][1] + (b.labs[1][1] - a.labs[1][1]) * 0.25::DOUBLE, 4) AS lightness FROM profiles a, profiles b""".replace("SELECT a", f"WITH {A.PROFILES} SELECT a", 1))
+def blended_colours(spark, sf_dir):
+    """A quarter of the way from one profile's first colour to another's; the dimension has a fixed number of rows."""
+    p = profiles(spark).select("key", selection.lab_of(F.col("palette_hex"))[0].alias("lab"))
+    mixed = numbers.blend(F.col("x.lab"), F.col("y.lab"), 0.25)
+    return p.alias("x").join(F.broadcast(p.alias("y"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), r4(mixed[0], "lightness"))
+

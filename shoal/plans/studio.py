@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ class Request:
     min_quality: float = 0.35
     now: float = 0.0
     hooks: list[str] = field(default_factory=list)
+    used: list[str] = field(default_factory=list)  # hooks to avoid while others are left
+    seed: int = 0
 
 
 @dataclass
@@ -60,6 +62,18 @@ def scan(spark: SparkSession, roots: list[str], index: str, analyse: Callable[[D
     return files.read_table(spark, index, library.SCHEMA, INDEX_VERSION)
 
 
+def from_probes(found: DataFrame) -> DataFrame:
+    """An ``analyse`` for ``scan``: rows of the library's schema from the probe JSON beside each file. Colours and focus, which need
+    decoded frames, stay null, and the quality is that of an ordinary exposure; a file without a probe is a row with an error."""
+    rows = files.probe_sidecars(found).withColumn("info", files.probe_info(F.col("payload")))
+    c = lambda name: F.col(f"info.{name}")
+    quality = numbers.quality(c("width"), c("height"), F.lit(0.52), F.lit(0.2), F.col("kind") == "video", c("duration"))
+    error = F.when(F.col("payload").isNull(), "no probe").when((c("width") <= 0) | (c("height") <= 0), "no picture")
+    made = {n: c(n) for n in ("width", "height", "duration", "fps", "codec", "has_audio", "created")} | {"quality": quality, "error": error}
+    want = found.sparkSession.createDataFrame([], library.SCHEMA).schema
+    return rows.select(*[(made[f.name] if f.name in made else F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
+
+
 def features(assets: DataFrame) -> DataFrame:
     """Saved index rows -> the flat columns that scoring reads."""
     pal = F.col("palette")
@@ -108,13 +122,14 @@ def make(spark: SparkSession, request: Request, assets: DataFrame, posts: DataFr
     timed = ordered.join(beats.select((F.col("index") + 1).cast("long").alias("place"), "beats"), "place")
     cuts = timeline.plan_cuts(timed, "slug", "place", "beats", F.lit(60.0 / request.bpm))
     shots = timeline.shot_spans(timeline.transition_lengths(cuts, "slug", "place", F.lit(preset["transition_seconds"])), "slug", "place")
-    unit = F.pmod(text.seed31(F.lit(request.slug), F.col("path")), F.lit(1000)) / 1000.0
+    unit = F.pmod(text.seed31(F.lit(request.slug), F.lit(request.seed), F.col("path")), F.lit(1000)) / 1000.0
     clip = timeline.fit_video(F.col("duration"), F.col("length"), unit)
     shots = cut(shots.withColumns({"motion": timeline.cycle(MOTIONS, F.col("place")), "transition": timeline.cycle(list(preset["transitions"]), F.col("place")), "clip": F.when(F.col("kind") == "video", clip)}))
     bad = timeline.verify(shots, "slug", "place").collect()
     if bad:
         raise ValueError(f"timeline: {bad}")
-    hook = report.pick(F.array(*map(F.lit, request.hooks)) if request.hooks else F.array().cast("array<string>"), F.array().cast("array<string>"), F.lit(request.slug))
+    listed = lambda values: F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    hook = report.pick(listed(request.hooks), listed(request.used), F.lit(f"{request.slug}:{request.seed}"))
     copy = spark.range(1).select(F.lit(request.slug).alias("slug"), hook.alias("hook"), report.suggested_window(F.lit(request.slug)).alias("window"))
     origin = report.provenance(shots.withColumn("board", F.col("slug")), report.source_notes(spark))
     post = shots.groupBy("slug").agg(F.lit(request.preset).alias("preset"), F.lit(float(request.now)).alias("created_at"), F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("assets"), F.lit("").alias("output"), F.max("cut").alias("duration"))
@@ -123,15 +138,16 @@ def make(spark: SparkSession, request: Request, assets: DataFrame, posts: DataFr
 
 
 def make_batch(spark: SparkSession, requests: list[Request], assets: DataFrame, posts: DataFrame) -> tuple[list[Board], list[str], DataFrame]:
-    """Boards in order, each avoiding what those before it used; a request that fails is reported and the rest go on."""
-    boards, errors = [], []
+    """Boards in order, each avoiding the assets and hooks of those before it; a request that fails is reported and the rest go on."""
+    boards, errors, said = [], [], {}
     for r in requests:
         try:
-            board = make(spark, r, assets, posts)
+            board = make(spark, replace(r, used=[*r.used, *said.get(r.preset, [])]), assets, posts)
         except (KeyError, ValueError) as e:
             errors.append(f"{r.slug}: {e}")
             continue
         boards.append(board)
+        said.setdefault(r.preset, []).extend(x["hook"] for x in board.copy.select("hook").collect() if x["hook"])  # one row
         posts = cut(ledger.upsert(posts, board.post))
     return boards, errors, posts
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import json
 import os
@@ -73,6 +74,31 @@ def open_file(path: str):
     return system.open_input_file(name)
 
 
+def probe_sidecars(found: DataFrame, ending: str = ".probe.json") -> DataFrame:
+    """``found`` with payload: the probe's JSON beside each file, null where there is none."""
+
+    def one(path: str) -> str | None:
+        try:
+            with open_file(path + ending) as f:
+                return f.read().decode()
+        except (OSError, UnicodeDecodeError):
+            return None
+
+    @F.arrow_udf("string")
+    def payload(paths: pa.Array) -> pa.Array:
+        return pa.array([one(p) for p in paths.to_pylist()], pa.string())
+
+    return found.withColumn("payload", payload("path"))
+
+
+def default_roots(home: str) -> list[str]:
+    """Folders of a home that are worth scanning when none are named, and the originals inside photo libraries."""
+    # Where media usually is.
+    usual = ["Downloads", "Pictures", "Movies", "Desktop", "Documents/Envato", "Downloads/Envato Elements"]
+    inner = sorted(glob.glob(os.path.join(glob.escape(home), "Pictures", "*.photoslibrary", "originals")))
+    return [p for p in [*(os.path.join(home, u) for u in usual), *inner] if os.path.isdir(p)]
+
+
 def seek_points(duration: Column, n: Column) -> Column:
     """Evenly spaced moments within the middle nine tenths; one null for very short clips or a single frame."""
     many = F.transform(F.sequence(F.lit(0), n - 1), lambda i: 0.05 * duration + 0.9 * duration * i / F.greatest(F.lit(1), n - 1))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shoal.operators import ledger, library, timeline
+from shoal.operators import ledger, library, report, timeline
 from shoal.plans import studio
 from shoal.sources import files
 
@@ -73,6 +73,42 @@ def test_scan_analyses_only_what_changed(spark, tmp_path):
     assert seen == [["a.jpg", "b.mov"], ["b.mov", "c.png"]]
 
 
+def test_scan_command_reads_probes(spark, tmp_path, capsys):
+    import json
+
+    from shoal import cli
+
+    root, p = tmp_path / "media", str(tmp_path / "proj")
+    root.mkdir()
+    (root / "a.jpg").write_bytes(b"1")
+    (root / "a.jpg.probe.json").write_text(json.dumps({"streams": [{"codec_type": "video", "codec_name": "mjpeg", "width": 1080, "height": 1920}]}))
+    (root / "b.mov").write_bytes(b"22")
+    assert cli.main(["--project", p, "init", str(root)]) == 0 and cli.main(["--project", p, "--verbose", "scan"]) == 0
+    got = {r["path"].rsplit("/", 1)[1]: r for r in files.read_table(spark, f"{p}/library", library.SCHEMA, studio.INDEX_VERSION).collect()}
+    assert (got["a.jpg"]["width"], got["a.jpg"]["kind"], got["a.jpg"]["error"]) == (1080, "image", None) and 0.5 < got["a.jpg"]["quality"] <= 1
+    assert got["b.mov"]["error"] == "no probe" and "no probe" in capsys.readouterr().out
+    assert cli.missing_filters(" T.. xfade V->V x\n ... scale V->V y", ["scale", "eq"]) == ["eq"]
+
+
+def test_default_roots(tmp_path):
+    for name in ("Downloads", "Pictures/My.photoslibrary/originals", "Desktop.txt"):
+        (tmp_path / name).mkdir(parents=True)
+    assert [r.removeprefix(f"{tmp_path}/") for r in files.default_roots(str(tmp_path))] == ["Downloads", "Pictures", "Pictures/My.photoslibrary/originals"]
+
+
+def test_copy_rotates_within_a_batch(spark):
+    pools = spark.createDataFrame([("p", "T", "B", ["One", "two", "three"], [], ["go", "see"], "bye", ["a", "b", "c"], ["#d"], ["", "e"]), ("q", "T2", "B2", [], ["only"], [], "", [], [], [])], report.POOLS)
+    posts = spark.createDataFrame([("p", k, f"s{k}") for k in range(5)] + [("q", 0, "x"), ("gone", 0, "y")], "preset string, pos long, slug string")
+    got = {(r["preset"], r["pos"]): r for r in report.write_batch(posts, pools).collect()}
+    hooks = [got["p", k]["hook"] for k in range(5)]
+    assert sorted(hooks[:3]) == ["One", "three", "two"] and set(hooks[3:]) <= set(hooks[:3]) and len(got) == 6
+    assert got["p", 0]["caption"] == "B" and got["p", 0]["cta"] in ("go", "see") and got["p", 0]["signoff"] == "bye"
+    assert {"#d"} < set(got["p", 1]["hashtags"]) and len(got["p", 1]["hashtags"]) >= 4
+    assert (got["q", 0]["hook"], got["q", 0]["caption"], got["q", 0]["cta"], got["q", 0]["hashtags"]) == ("T2", "only", "", [])
+    again = {(r["preset"], r["pos"]): r["hook"] for r in report.write_batch(posts, pools).collect()}
+    assert again == {k: r["hook"] for k, r in got.items()}
+
+
 def test_grid_of_a_track(spark):
     import numpy as np
     import pandas as pd
