@@ -179,6 +179,23 @@ def test_embeddings_equal_brute_force(spark):
             assert r["kept"] == (r["vec_id"] == r["component_id"])
 
 
+def test_a_label_above_the_bound_for_one_bucket(spark):
+    """20,000 vectors of one label go through the buckets of the production defaults; links are counted by brute force."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(5000, 32))
+    x = np.repeat(centres, 4, axis=0) + rng.normal(size=(20_000, 32)) * rng.choice([0.1, 0.2, 0.28], size=(20_000, 1))
+    x = x.astype(np.float32).astype(float)
+    assert len(x) > embedding_dedup.DIRECT
+    unit, want = x / np.linalg.norm(x, axis=1)[:, None], np.zeros(len(x), int)
+    for k in range(0, len(x), 2000):
+        want[k : k + 2000] = (unit[k : k + 2000] @ unit.T >= 0.93).sum(axis=1) - 1
+    import pyarrow as pa
+
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x)), "label": pa.array(["one"] * len(x))}))
+    got = embedding_dedup.near_duplicates(df).toArrow().sort_by("vec_id").column("n_links").to_numpy()
+    assert want.sum() > 5000 and (got == want).mean() > 0.9999 and (got <= want).all()
+
+
 def test_estimate_is_unbiased_and_bounds_hold():
     rng = np.random.default_rng(2)
     o, q = rng.normal(size=(2, 3000, 64))
