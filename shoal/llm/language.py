@@ -329,9 +329,6 @@ class _Scorer:
         return pred, conf, short
 
 
-_WORKER: dict[str, _Scorer] = {}
-
-
 def language_of(spark: SparkSession, model: Model, text: Column) -> Column:
     """A struct of a text's lang_pred, score (the posterior probability of that language, from 0 to 1) and lacking."""
     shared = spark.sparkContext.broadcast(model)  # vocabulary x at most MOST_LANGS numbers
@@ -339,10 +336,7 @@ def language_of(spark: SparkSession, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("struct<lang_pred: string, score: double, lacking: double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = _WORKER.get(token)
-        if scorer is None:
-            _WORKER.clear()
-            scorer = _WORKER[token] = _Scorer(shared.value)
+        scorer = scratch.held(("language", token), lambda: _Scorer(shared.value))
         for b in batches:
             pred, conf, short = scorer.score(b.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(conf, pa.float64()), pa.array(short, pa.float64())], ["lang_pred", "score", "lacking"])

@@ -61,6 +61,18 @@ def clear(spark: SparkSession) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_HELD: dict = {}
+
+
+def held(key, make=None):
+    """What a worker process keeps from task to task: one thing at a time, as a worker serves one operator after another and what
+    each keeps is large. ``held(None)`` keeps nothing."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make and make()
+    return _HELD[key]
+
+
 def bounded(texts, size, limit: int = 2_000_000):
     """Groups of texts (null: empty) of about ``limit`` in all; a longer text is a group of its own."""
     group, total = [], 0

@@ -18,13 +18,13 @@ import numpy as np
 import public_tokenizers
 import regex
 
-from shoal.llm import bytesplit
+from shoal.llm import bytesplit, scratch
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: The pre-tokenizer's pattern, as the vocabulary file has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-_KEPT = 1_000_000
+_KEPT = 600_000
 _ODD = re.compile("[\x1c-\x1f]")
 _ENDS = re.compile(r"(?<=[a-z])(?=[.,](?:\s|\Z))")
 
@@ -64,12 +64,6 @@ class Encoder:
         return [self.encode_one(t or "") for t in texts]
 
 
-_WORKER: dict[str, Encoder] = {}
-
-
 def encoder(path: str = VOCABULARY) -> Encoder:
     """The worker's encoder: made once, used by all its tasks."""
-    if path not in _WORKER:
-        _WORKER.clear()
-        _WORKER[path] = Encoder(path)
-    return _WORKER[path]
+    return scratch.held(("words", path), lambda: Encoder(path))
