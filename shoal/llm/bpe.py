@@ -7,8 +7,11 @@ three leaves (the merged part, its left neighbour, the part that vanished) and t
 root: logarithmic work. The trees of many pieces of like size are kept in one array and take their
 merges in step; a very long piece is simply a tree of more levels.
 
-Pieces' ids are kept in the worker, up to a bound; whole texts are encoded and decoded. Null counts
-as empty.
+Pieces' ids are kept in the worker, up to a bound; whole texts are encoded and decoded.
+
+Defined results: null counts as empty, with no token and the digests of nothing; of pairs of equal rank the leftmost merges
+first; texts and pieces may be of any length (a merge costs the logarithm of the piece's); repeated rows and equal ids
+each get a row; an empty table gives an empty result; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations

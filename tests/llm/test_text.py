@@ -62,6 +62,12 @@ def test_bpe_round_trip_through_tables(spark):
     assert out == {k: (t or "").encode() for k, t in enumerate(texts)}
 
 
+def test_empty_and_repeated_rows(spark):
+    none, twice = docs(spark, []), docs(spark, ["a b", "a b"]).replace(1, 0, "doc_id")
+    for made in (bpe.digests, tokencount.count_tokens, bpe.encode, packing.pieces):
+        assert made(none).count() == 0 and len({tuple(map(str, r)) for r in made(twice).collect()}) == 1 and made(twice).count() == 2
+
+
 def test_segment_tree_on_long_piece(gpt):
     rng = random.Random(4)
     piece = "".join(rng.choice("abcdeth") for _ in range(6000)).encode()
