@@ -37,7 +37,7 @@ ROWS_PER_LANG, MOST_LANGS, ROUNDS = 1500, 2000, 3
 UNKNOWN, LEAST, SPREAD, SHORT = "und", 0.5, 2.0, 10.0
 _MARK, _SMOOTH, _UNSEEN = "▁", 0.05, 1e-9
 _LETTERS = regex.compile(r"\p{L}+")
-_CACHE, _SPAN, _SEGMENT, _USUAL = 300_000, 16, 4096, 64
+_CACHE, _SPAN, _SEGMENT, _USUAL = 200_000, 16, 4096, 64
 
 
 def runs(chunk: str) -> list[str]:
@@ -209,7 +209,7 @@ class Model:
     def log_scores(self, words: list[str]) -> np.ndarray:
         pieces, out = vocabulary(self.path), np.empty((len(words), len(self.langs)))
         for n, at in _by_length(words).items():
-            step = max(1, 200_000 // (n + 1))
+            step = max(1, 50_000 // (n + 1))
             for k in range(0, len(at), step):
                 out[at[k : k + step]] = forward(pieces, pieces.codes([words[i] for i in at[k : k + step]]), self.prob)
         return out
@@ -307,7 +307,7 @@ class _Scorer:
         if not langs:
             return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         pred, conf, short = [], [], []
-        for group in scratch.bounded(texts, len):
+        for group in scratch.bounded(texts, len, 1_000_000):
             split = [t.split() for t in group]
             self._learn(set().union(*split))
             ends = np.cumsum([0] + [len(x) for x in split])

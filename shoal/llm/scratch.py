@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,8 @@ def held(key, make=None):
     each keeps is large. ``held(None)`` keeps nothing."""
     if key not in _HELD:
         _HELD.clear()
+        with contextlib.suppress(OSError, AttributeError):  # glibc keeps what is freed unless told otherwise
+            ctypes.CDLL(None).malloc_trim(0)
         _HELD[key] = make and make()
     return _HELD[key]
 

@@ -24,7 +24,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: The pre-tokenizer's pattern, as the vocabulary file has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-_KEPT = 600_000
+_KEPT = 300_000
 _ODD = re.compile("[\x1c-\x1f]")
 _ENDS = re.compile(r"(?<=[a-z])(?=[.,](?:\s|\Z))")
 
