@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from shoal.llm import tokencount
+from shoal.llm import scratch, tokencount
 
 VOCABULARY = tokencount.VOCABULARY
 BUDGET, HISTORY = 2048, 512
@@ -59,14 +59,16 @@ def unescape_role(role: str) -> str:
     return unescape(role).replace("%0A", "\n").replace("%25", "%")
 
 
-_COUNTERS: dict[str, tokencount.Counter] = {}
+MARKS = 4  # tokens around a turn
+
+
+def _counter(vocabulary: str) -> tokencount.Counter:
+    return scratch.held(("tokens", vocabulary), lambda: tokencount.Counter(vocabulary))
 
 
 def count_tokens(text: str, vocabulary: str = VOCABULARY) -> int:
     """Tokens of a public tokenizer, and four for the marks around a turn."""
-    if vocabulary not in _COUNTERS:
-        _COUNTERS[vocabulary] = tokencount.Counter(vocabulary)
-    return int(_COUNTERS[vocabulary].count([text])[0]) + 4
+    return int(_counter(vocabulary).count([text])[0]) + MARKS
 
 
 @dataclass
@@ -78,6 +80,11 @@ class Window:
 
 def windows(turns: Iterator[tuple[str, str]], budget: int = BUDGET, history: int = HISTORY, tokens: Callable[[str], int] = count_tokens) -> Iterator[Window]:
     """(role, text) in order -> windows."""
+    return _windows(((role, text, tokens(text)) for role, text in turns), budget, history)
+
+
+def _windows(turns: Iterator[tuple[str, str, int]], budget: int, history: int) -> Iterator[Window]:
+    """(role, text, tokens) in order -> windows."""
     system: tuple[str, str, int] | None = None
     before: list[tuple[str, str, int]] = []  # turns to repeat in the next window
     new: list[tuple[str, str, int]] = []
@@ -96,9 +103,8 @@ def windows(turns: Iterator[tuple[str, str]], budget: int = BUDGET, history: int
         return w
 
     first_done, used = False, 0
-    for role, text in turns:
-        turn = (role, text, tokens(text))
-        if system is None and not first_done and not new and role == "system":
+    for turn in turns:
+        if system is None and not first_done and not new and turn[0] == "system":
             system = turn
         if new and used + turn[2] > budget:
             yield made()
@@ -119,12 +125,19 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     slim = turns.select(F.col(id_col).alias("_id"), F.col(turn_col).alias("_turn"), F.col(role_col).alias("_role"), F.col(text_col).alias("_text"))
     dealt = slim.repartition("_id").sortWithinPartitions("_id", "_turn", "_role", "_text")
 
+    def counted(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 2000):
+                i, r, t = (b.column(c).slice(k, 2000).to_pylist() for c in (0, 2, 3))
+                n = _counter(vocabulary).count(t)
+                yield from ((i, r or "", t or "", int(n) + MARKS) for i, r, t, n in zip(i, r, t, n, strict=True))
+
     def run(batches):
-        rows = ((i, r or "", t or "") for b in batches for i, r, t in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True))
+        rows = counted(batches)
         out: list[tuple] = []
         size = 0
         for i, own in _groups(rows):
-            for k, w in enumerate(windows(own, budget, history, lambda t: count_tokens(t, vocabulary))):
+            for k, w in enumerate(_windows(own, budget, history)):
                 out.append((i, k, w.text, [{"start": a, "end": b} for a, b in w.spans]))
                 size += len(w.text)
                 if size > 4_000_000:
@@ -144,7 +157,7 @@ def _batch(rows: list[tuple], kinds: list[tuple]) -> pa.RecordBatch:
 
 
 def _groups(rows):
-    """(id, iterator of (role, text)) for each run of equal ids; one row is held at a time."""
+    """(id, iterator of (role, text, tokens)) for each run of equal ids; one row is held at a time."""
     row = next(rows, None)
     while row is not None:
         key = row[0]
@@ -152,7 +165,7 @@ def _groups(rows):
         def own():
             nonlocal row
             while row is not None and row[0] == key:
-                yield row[1], row[2]
+                yield row[1:]
                 row = next(rows, None)
 
         yield key, own()
