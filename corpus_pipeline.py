@@ -25,7 +25,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the document with the smallest doc_id stays."""
+    """Of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the document with the smallest doc_id stays.
+
+    Fingerprints within two bits are found by the grid range-join of ``simhash``, the pairs out of its reach by minima."""
     return jaccard.dedup(docs)
 
 

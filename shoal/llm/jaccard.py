@@ -1,17 +1,20 @@
-"""Near copies of texts: all pairs whose five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies of texts: all pairs whose five-word shingles have a Jaccard similarity of 0.8 or more, found by SimHash
+fingerprints and, beyond their reach, by minima.
 
-Fingerprints of 64 bits can't tell these pairs: at 0.8 they are expected to differ in about 10 bits,
-and a search at such distances meets nearly everything. So candidates come from ``HASHES`` minima
-of permuted shingle hashes (MinHash): ``BANDS`` bands of ``HASHES // BANDS`` minima are cells, and
-documents that meet in a cell are candidates if at least ``AGREE`` of their minima agree. A pair at 0.8
-meets in no cell with a chance of 5e-8, and agrees less often with about 3e-8. Only pairs whose whole shingle
-sets reach the threshold are linked.
+Each text's fingerprint is the majority of its distinct shingles' hashes. Those within two bits are found as in ``simhash``
+(segment popcounts, grid range-join), whose links connect all of them, however many.
 
-Most links are found in linear work: each text is compared with the one that agrees best among the leaders (smallest
-keys) of its cells. What that leaves apart is compared in full, but only across the components found so far: in a
-cell, and then in a group of texts that agree, the members outside the largest component meet all others, in blocks of
-``BLOCK``, and a task returns a spanning forest. So a dense cluster costs a comparison a member, no group has to fit into
-one task, and no pairs are emitted.
+A grid can't go much farther: at 0.8 fingerprints of 64 bits are expected to differ in about 10, and a search at such
+distances meets nearly everything. So the pairs out of its reach come from ``HASHES`` minima of permuted shingle hashes
+(MinHash): ``BANDS`` bands of ``HASHES // BANDS`` minima are cells, and documents that meet in a cell are candidates if at
+least ``AGREE`` of their minima agree. A pair at 0.8 meets in no cell with a chance of 5e-8, and agrees less often with about
+3e-8. Whatever found a pair, it is linked only if the whole shingle sets reach the threshold.
+
+Most links are found in linear work: each text is compared with what its fingerprint is linked with, and with the one that
+agrees best among the leaders (smallest keys) of its cells. What that leaves apart is compared in full, but only across the
+components found so far: in a cell, and then in a group of texts that agree, the members outside the largest component meet
+all others, in blocks of ``BLOCK``, and a task returns a spanning forest. So a dense cluster costs a comparison a member, no
+group has to fit into one task, and no pairs are emitted.
 
 Defined results: words are split and lower-cased as for fingerprints; a text of up to five words is one
 shingle, and so is one without words, null included; repeated rows each get a row; null ids never name a component while
@@ -20,15 +23,13 @@ another id is there; an empty table gives an empty result; extra columns aren't
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm import graph, scratch
+from shoal.llm import graph, scratch, simhash
 from shoal.llm.simhash import SEED, WORDS, _text_key
 
 LEAST, HASHES, BANDS, AGREE, BLOCK = 0.8, 128, 32, 76, 256
@@ -39,14 +40,8 @@ _MUL, _ADD = _RNG.integers(0, 1 << 64, HASHES, dtype=np.uint64) | np.uint64(1),
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """Distinct XXH64 of all word shingles, sorted."""
-    toks = text.lower().split()  # bytes: A-Z only, and exactly the white space \x20 \x09-\x0D
-    buf = b" ".join(toks)
-    digest = xxhash.xxh64_intdigest
-    if len(toks) <= words:
-        return np.array([digest(buf, SEED)], np.uint64)
-    ends = [e - 1 for e in accumulate(len(t) + 1 for t in toks)]
-    starts = [0] + [e + 1 for e in ends[:-1]]
-    return np.unique(np.array([digest(buf[a:b], SEED) for a, b in zip(starts, ends[words - 1 :], strict=False)], np.uint64))
+    found = simhash.hashes(text, words)
+    return np.unique(found) if len(found) else np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
 
 
 def signature(found: np.ndarray) -> tuple[list[int], bytes]:
@@ -64,15 +59,18 @@ def _raw(texts) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(_id, _text, text_key) -> (_id, text_key, cells, sig)."""
+    """(_id, _text, text_key) -> (_id, text_key, fp, cells, sig): fp is the fingerprint of the distinct shingles as a signed long."""
+    kinds = (pa.list_(pa.int64()), pa.binary())
 
     def run(batches):
         scratch.held(None)
         for b in _slices(batches):
-            made = [signature(shingles(t, words)) for t in _raw(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([c for c, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary())], ["_id", "text_key", "cells", "sig"])
+            sets = [shingles(t, words) for t in _raw(b.column(1))]
+            fp = pa.array(np.array([simhash.majority(x) for x in sets], np.uint64).view(np.int64))
+            made = zip(*map(signature, sets), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fp, *(pa.array(v, t) for v, t in zip(made, kinds, strict=True))], ["_id", "text_key", "fp", "cells", "sig"])
 
-    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, text_key long, cells array<long>, sig binary")
+    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, text_key long, fp long, cells array<long>, sig binary")
 
 
 def _tasks(df: DataFrame) -> int:
@@ -114,6 +112,15 @@ def _met(groups: DataFrame) -> DataFrame:
     return scratch.stage(cells.join(scratch.stage(lead, "leads", codec="snappy"), "grp"), "met")
 
 
+def _by_fingerprint(once: DataFrame) -> DataFrame:
+    """once(k, fp) -> (a, b): texts with fingerprints within two bits, so that all such are connected; each fingerprint's smallest key stands for it."""
+    fps = scratch.stage(once.groupBy("fp").agg(F.min("k").alias("b"), F.count(F.lit(1)).alias("n")), "fps")
+    same = once.select(F.col("k").alias("a"), "fp").join(fps.where("n > 1"), "fp").where("a <> b").select("a", "b")
+    near = scratch.stage(simhash.links(fps.select("fp")), "fp_links")
+    ends = [fps.select(F.col("fp").alias(x), F.col("b").alias(f"{x}_k")) for x in ("a", "b")]
+    return same.unionByName(near.join(ends[0], "a").join(ends[1], "b").select(F.col("a_k").alias("a"), F.col("b_k").alias("b")))
+
+
 def _best_leaders(met: DataFrame) -> DataFrame:
     """(a, b): for each text that meets others, the leader that it shares the most cells with."""
     pairs = met.where("k <> b").groupBy(F.col("k").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
@@ -228,10 +235,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: ``id_col``, component_id (smallest id reachable), text_key."""
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), _text_key(F.col(text_col)).alias("text_key"))
     prints = scratch.stage(signatures(slim, words), "minima")
-    groups = scratch.stage(prints.groupBy(F.col("text_key").alias("k")).agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("m"), F.first("cells").alias("cells"), F.first("sig").alias("sig")), "groups")
+    groups = scratch.stage(prints.groupBy(F.col("text_key").alias("k")).agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("m"), F.first("fp").alias("fp"), F.first("cells").alias("cells"), F.first("sig").alias("sig")), "groups")
     once = groups.select("k", "sig")
     met = _met(groups)
-    first = scratch.stage(_best_leaders(met), "first")
+    first = scratch.stage(_best_leaders(met).unionByName(_by_fingerprint(groups.select("k", "fp"))).distinct(), "first")
 
     def shingled(batches):
         for b in batches:

@@ -18,7 +18,7 @@ the input are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,24 +33,29 @@ WORDS = 5
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Bit i is 1 if it is set in over half of the XXH64 (seed 42) of all word shingles."""
+def hashes(text: bytes, words: int = WORDS) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included; of the whole sequence if there are fewer words, none if there are none."""
     toks = text.lower().split()  # bytes: A-Z only, and exactly the white space \x20 \x09-\x0D
-    n = len(toks)
-    if not n:
-        return 0
     buf = b" ".join(toks)
-    digest = xxhash.xxh64_intdigest
-    if n <= words:
-        return digest(buf, SEED)
+    if len(toks) <= words:
+        return np.array([xxhash.xxh64_intdigest(buf, SEED)] if toks else [], np.uint64)
     ends = [e - 1 for e in accumulate(len(t) + 1 for t in toks)]
     starts = [0] + [e + 1 for e in ends[:-1]]
-    ends = ends[words - 1 :]
+    parts = map(buf.__getitem__, map(slice, starts, ends[words - 1 :]))
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(toks) - words + 1)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of ``h``."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, len(ends), _CHUNK):
-        h = np.array([digest(buf[a:b], SEED) for a, b in zip(starts[k : k + _CHUNK], ends[k : k + _CHUNK], strict=False)], dtype="<u8")
-        ones += _bit_counts(h)
-    return int(np.packbits((2 * ones > len(ends)).astype(np.uint8), bitorder="little").view("<u8")[0])
+    for k in range(0, len(h), _CHUNK):
+        ones += _bit_counts(h[k : k + _CHUNK])
+    return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """Bit i is 1 if it is set in over half of the XXH64 (seed 42) of all word shingles."""
+    return majority(hashes(text, words))
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:

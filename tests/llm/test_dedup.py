@@ -211,3 +211,25 @@ def test_estimate_is_unbiased_and_bounds_hold():
 
 def test_no_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], VEC)).count() == 0
+
+
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
+    """Without cells, those within two bits are still linked: by the grid, and only if their shingles are alike."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(jaccard, "_met", lambda groups: groups.select("k", F.lit(0).alias("grp"), F.lit(0).cast("long").alias("b")).limit(0))
+    rng = random.Random(5)
+    rows = []
+    for size in (300, 900, 2000):
+        base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        for k in range(9):
+            rows.append(" ".join([*base, *(f"end{k}" for _ in range(k % 3))]))
+    prints = [simhash.majority(jaccard.shingles(t.encode())) for t in rows]
+    like = lambda i, j: plain_jaccard(rows[i], rows[j]) >= 0.8
+    comp = closure(len(rows), lambda i, j: like(i, j) and bin(prints[i] ^ prints[j]).count("1") <= 2)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs(spark, list(enumerate(rows)))).collect()}
+    assert len(set(comp)) < len(rows) - 6 and [got[i] for i in range(len(rows))] == comp
+    all_met = lambda once: once.select(F.col("k").alias("a")).crossJoin(once.agg(F.min("k").alias("b"))).where("a <> b")
+    monkeypatch.setattr(jaccard, "_by_fingerprint", all_met)
+    links = jaccard.near_duplicates(docs(spark, [(0, rows[0]), (1, "quite another text " * 9)])).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in links} == {(0, 0), (1, 1)}
