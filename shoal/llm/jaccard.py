@@ -33,6 +33,7 @@ from shoal.llm import graph, scratch, simhash
 from shoal.llm.simhash import SEED, WORDS, _text_key
 
 LEAST, HASHES, BANDS, AGREE, BLOCK = 0.8, 128, 32, 76, 256
+MARKS = 1 << 26  # bits of a map of keys, whatever their number: 8 MB
 _CHUNK = 512
 _RNG = np.random.default_rng(SEED)
 _MUL, _ADD = _RNG.integers(0, 1 << 64, HASHES, dtype=np.uint64) | np.uint64(1), _RNG.integers(0, 1 << 64, HASHES, dtype=np.uint64)
@@ -105,11 +106,37 @@ def _set(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u8")
 
 
-def _met(groups: DataFrame) -> DataFrame:
-    """groups(k, cells) -> (grp, k, b): the cells where texts meet, with their leader, the smallest key."""
-    cells = groups.select("k", F.explode("cells").alias("grp"))
+def _marks(keys: DataFrame):
+    """A map, for workers, of the low bits of the one column's hashes: what isn't marked isn't among them. Joins that follow are exact,
+    so it only spares them the rows that would find nothing."""
+    at = F.pmod(F.col(keys.columns[0]), F.lit(MARKS)) + 1
+    rows = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bits = np.zeros(MARKS // 8, np.uint8)
+    for r in rows:
+        bits[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _met(once: DataFrame) -> DataFrame:
+    """once(k, cells) -> (grp, k, b): the cells where texts meet, with their leader, the smallest key."""
+    cells = once.select("k", F.explode("cells").alias("grp"))
     lead = cells.groupBy("grp").agg(F.min("k").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("grp", "b")
-    return scratch.stage(cells.join(scratch.stage(lead, "leads", codec="snappy"), "grp"), "met")
+    lead = scratch.stage(lead, "leads", codec="snappy")
+    marks = _marks(lead.select("grp"))
+
+    def busy(batches):
+        for b in batches:
+            grp = b.column(1).flatten().to_numpy()
+            hit = _marked(marks.value, grp)
+            keys = np.repeat(b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(grp[hit])], ["k", "grp"])
+
+    return scratch.stage(once.select("k", "cells").mapInArrow(busy, "k long, grp long").join(lead, "grp"), "met")
 
 
 def _by_fingerprint(once: DataFrame) -> DataFrame:
@@ -235,20 +262,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: ``id_col``, component_id (smallest id reachable), text_key."""
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), _text_key(F.col(text_col)).alias("text_key"))
     prints = scratch.stage(signatures(slim, words), "minima")
-    groups = scratch.stage(prints.groupBy(F.col("text_key").alias("k")).agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("m"), F.first("fp").alias("fp"), F.first("cells").alias("cells"), F.first("sig").alias("sig")), "groups")
-    once = groups.select("k", "sig")
-    met = _met(groups)
-    first = scratch.stage(_best_leaders(met).unionByName(_by_fingerprint(groups.select("k", "fp"))).distinct(), "first")
-
-    def shingled(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).astype("<u8").tobytes() for t in _raw(b.column(1))], pa.binary())], ["k", "data"])
+    groups = scratch.stage(prints.groupBy(F.col("text_key").alias("k")).agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("m")), "groups")
+    copied = not groups.where("m > 1").isEmpty()
+    single = lambda df, name: scratch.stage(df.dropDuplicates(["k"]) if copied else df, name)
+    once = prints.select(F.col("text_key").alias("k"), "fp", "cells", "sig")
+    once = single(once, "once") if copied else once
+    met = _met(once)
+    first = scratch.stage(_best_leaders(met).unionByName(_by_fingerprint(once.select("k", "fp"))).distinct(), "first")
+    once = once.select("k", "sig")
 
     def sets_of(keys: DataFrame) -> DataFrame:
-        texts = slim.join(keys, slim["text_key"] == keys["k"]).select("k", "_text").dropDuplicates(["k"])
-        return scratch.stage(texts.mapInArrow(shingled, "k long, data binary"), "sets")
+        """The sets of (at least) these keys; texts aren't shuffled."""
+        marks = _marks(keys)
+
+        def shingled(batches):
+            for b in batches:
+                b = b.filter(pa.array(_marked(marks.value, b.column(0).to_numpy())))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).astype("<u8").tobytes() for t in _raw(b.column(1))], pa.binary())], ["k", "data"])
+
+        return single(slim.select("text_key", "_text").mapInArrow(shingled, "k long, data binary"), "sets")
 
-    sets = sets_of(first.select(F.col("a").alias("k")).union(first.select("b")).distinct())
+    sets = sets_of(first.select(F.col("a").alias("k")).union(first.select("b")))
     links = scratch.stage(_verified(first, sets, least), "links")
     parts = scratch.stage(graph.components(links), "parts")
     apart = scratch.stage(_across(_named(met.select("grp", "k"), parts), once.withColumn("data", F.lit(b"")), _near), "apart")
@@ -257,7 +291,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         split = _named(near.select(F.col("node").alias("k"), F.col("component").alias("grp")), parts)
         many = split.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
         split = scratch.stage(split.join(many, "grp").select("grp", "k", "comp"), "split")
-        more = sets_of(split.join(sets.select("k"), "k", "left_anti").select("k"))
+        lacking = scratch.stage(split.join(sets.select("k"), "k", "left_anti").select("k"), "lacking", codec="snappy")
+        more = sets_of(lacking).join(lacking, "k", "left_semi")
         rest = _across(split, once.join(sets.unionByName(more), "k"), lambda x, y: _similar(x, y, least))
         links = scratch.stage(links.unionByName(rest), "links")
         parts = scratch.stage(graph.components(links), "parts")

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from shoal.llm import embedding_dedup, exact_dedup, graph, jaccard, simhash
+from shoal.llm import embedding_dedup, exact_dedup, graph, jaccard, scratch, simhash
 
 DOCS = "doc_id long, text string, keep_id string, _id int, fp string"
 
@@ -233,3 +233,31 @@ def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_by_fingerprint", all_met)
     links = jaccard.near_duplicates(docs(spark, [(0, rows[0]), (1, "quite another text " * 9)])).collect()
     assert {(r["doc_id"], r["component_id"]) for r in links} == {(0, 0), (1, 1)}
+
+
+def test_texts_are_not_shuffled_for_their_sets(spark, monkeypatch):
+    """Only marked texts are made sets of, where they lie; with few marks some are made in vain, and the links are the same."""
+    plans, real = [], scratch.stage
+
+    def stage(df, name, **kw):
+        if name == "sets":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, **kw)
+
+    monkeypatch.setattr(scratch, "stage", lambda df, name, codec="zstd": stage(df, name, codec=codec))
+    monkeypatch.setattr(jaccard, "MARKS", 1 << 15)
+    rng = random.Random(3)
+    rows = [" ".join(f"w{rng.randrange(300)}" for _ in range(12)) for _ in range(400)]
+    rows += [t + " x" for t in rows[:150]]
+    for more in ([], rows[:40]):  # with copies, a text still has one set
+        plans.clear()
+        got = [r["component_id"] for r in sorted(jaccard.near_duplicates(docs(spark, list(enumerate(rows + more)))).collect())]
+        assert got == [k % 400 for k in range(550)] + list(range(len(more)))
+        assert plans and ("Exchange" in plans[0]) == bool(more)
+
+
+def test_marks_keep_all_keys(spark):
+    keys = np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 3000)
+    keys[:4] = -1, 0, jaccard.MARKS, jaccard.MARKS - 1
+    bits = jaccard._marks(spark.createDataFrame([(k,) for k in keys.tolist()], "k long")).value
+    assert jaccard._marked(bits, keys).all() and np.unpackbits(bits).sum() == len(set((keys % jaccard.MARKS).tolist()))
