@@ -16,6 +16,7 @@ import numpy as np
 
 FAN, LEVELS, DIM, NOISE, RATE, PART = 32, 3, 32, 8, 0.2, 2048
 MOST_LEAVES = FAN**LEVELS
+_ONES, _MOST, _LEAST = np.ones(FAN, np.float32), 80, 1e-30
 
 
 def order_leaves(follows: np.ndarray) -> np.ndarray:
@@ -77,24 +78,29 @@ class Model:
         return self.x[rows].reshape(-1, FAN, DIM), self.b[rows].reshape(-1, FAN)
 
     def predicted(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
-        return self.x[two] * self.x[-2] + self.x[one] * self.x[-1]
+        return self.x.take(two, axis=0) * self.x[-2] + self.x.take(one, axis=0) * self.x[-1]
 
     def log_probs(self, two: np.ndarray, one: np.ndarray, to: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of leaves ``to`` after ``two`` and ``one``."""
         order = np.argsort(to.astype(np.uint16), kind="stable")
         sums, levels = np.zeros(len(to)), _levels(to[order])
+        whole = [np.ascontiguousarray(np.concatenate([q, b[:, :, None]], axis=2).transpose(0, 2, 1)) for q, b in map(self.level, range(LEVELS))]
         for a in range(0, len(to), PART):
             at = order[a : a + PART]
-            h, total = self.predicted(two[at], one[at]), sums[a : a + PART]
-            each, s = np.arange(len(at)), np.empty((len(at), FAN), np.float32)
+            h, total = np.ones((len(at), DIM + 1), np.float32), sums[a : a + PART]  # the last column is that of the biases
+            h[:, :DIM] = self.predicted(two[at], one[at])
+            each, s, e = np.arange(len(at)), *np.empty((2, len(at), FAN), np.float32)
             for k, level in enumerate(levels):
-                q, b = self.level(k)
                 for p, _, i, j in level.parts(a, a + len(at)):
-                    np.matmul(h[i:j], q[p].T, out=s[i:j])
-                    s[i:j] += b[p]
-                s -= s.max(axis=1, keepdims=True)
+                    np.dot(h[i:j], whole[k][p], out=s[i:j])
+                if s.max() > _MOST:  # exponentials would leave the range of numbers
+                    s -= s.max(axis=1, keepdims=True)
+                all_ = np.exp(s, out=e) @ _ONES
+                if all_.min() < _LEAST:
+                    s -= s.max(axis=1, keepdims=True)
+                    all_ = np.exp(s, out=e) @ _ONES
                 total += s[each, level.child[a : a + PART]]
-                total -= np.log(np.exp(s, out=s).sum(axis=1))
+                total -= np.log(all_)
         out = np.empty(len(to))
         out[order] = sums
         return out
@@ -148,34 +154,43 @@ class Trainer:
         order = np.argsort(to.astype(np.uint16), kind="stable")
         two, one, levels = two[order], one[order], _levels(to[order])
         drawn = [(-self.rng.multinomial(v.size * self.noise, m.share[k][v.used]) / v.size[:, None]).astype(np.float32) for k, v in enumerate(levels)]
-        shift = [(m.level(k)[1] - self.expected[k])[v.used] for k, v in enumerate(levels)]
+        less = [np.empty((len(v.used), DIM + 1, FAN), np.float32) for v in levels]  # vectors and biases of the used nodes' children, negated
+        for (q, b), e, v, x in zip(map(m.level, range(LEVELS)), self.expected, levels, less, strict=True):
+            np.negative(q.take(v.used, axis=0).transpose(0, 2, 1), out=x[:, :DIM])
+            np.subtract(e.take(v.used, axis=0), b.take(v.used, axis=0), out=x[:, DIM])
         grads = [np.zeros((len(v.used), FAN, DIM + 1), np.float32) for v in levels]
         towards, places = np.empty((DIM, 2 * n), np.float32), np.zeros((2, DIM), np.float32)
         for a in range(0, n, PART):
             z = min(a + PART, n)
             each = np.arange(z - a)
-            far, near = m.x[two[a:z]], m.x[one[a:z]]
+            far, near = m.x.take(two[a:z], axis=0), m.x.take(one[a:z], axis=0)
             h = np.ones((z - a, DIM + 1), np.float32)  # the last column is that of the biases
             np.multiply(far, m.x[-2], out=h[:, :DIM])
             h[:, :DIM] += near * m.x[-1]
             back, down, s = np.zeros((z - a, DIM), np.float32), np.empty((z - a, DIM), np.float32), np.empty((z - a, FAN), np.float32)
             for k, level in enumerate(levels):
                 q, parts = m.level(k)[0], list(level.parts(a, z))
-                for p, _, i, j in parts:
-                    np.matmul(h[i:j, :DIM], q[p].T, out=s[i:j])
-                s += shift[k][level.group[a:z]]
-                np.negative(s, out=s)
+                for _, i_group, i, j in parts:
+                    np.dot(h[i:j], less[k][i_group], out=s[i:j])
                 with np.errstate(over="ignore"):
                     np.exp(s, out=s)
                 s += 1
                 odds = np.reciprocal(s, out=s)  # that a child is data and not noise
                 own = each, level.child[a:z]
                 right = 1 - odds[own]
-                g = np.multiply(odds, drawn[k][level.group[a:z]], out=odds)
+                if len(parts) < 16:
+                    for _, i_group, i, j in parts:
+                        odds[i:j] *= drawn[k][i_group]
+                else:
+                    odds *= drawn[k].take(level.group[a:z], axis=0)
+                g = odds
                 g[own] += right
                 for p, i_group, i, j in parts:
-                    grads[k][i_group] += g[i:j].T @ h[i:j]
-                    np.matmul(g[i:j], q[p], out=down[i:j])
+                    if i and j < z - a:  # all tokens of the node
+                        np.matmul(g[i:j].T, h[i:j], out=grads[k][i_group])
+                    else:
+                        grads[k][i_group] += g[i:j].T @ h[i:j]
+                    np.dot(g[i:j], q[p], out=down[i:j])
                 back += down
             towards[:, a:z], towards[:, n + a : n + z] = (back * m.x[-2]).T, (back * m.x[-1]).T
             places += np.stack([np.einsum("ij,ij->j", back, far), np.einsum("ij,ij->j", back, near)])

@@ -40,7 +40,7 @@ from shoal.llm import lbltree, scratch
 RESTS, BLOCK, BATCH, ROUNDS, PER_WORKER, STEPS, SEED = 32, 8_000_000, 32_768, 2, 6_000_000, 24, 7
 LISTED = lbltree.MOST_LEAVES - RESTS
 _END = b"\n"  # can't be a word
-_BEFORE, _CHUNK, _SALTS = 64, 1024, 8
+_BEFORE, _CHUNK, _SALTS, _PAIRS = 64, 1024, 8, 1 << 20
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -83,7 +83,8 @@ def _blocks(slim: DataFrame) -> DataFrame:
     types = [pa.int64(), to_arrow_type(slim.schema["_id"].dataType), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
 
     def rows(many, **columns):
-        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(many, t) for k, t in zip(names, types, strict=True)], names)
+        found = {k: v if isinstance(v, pa.Array) else pa.array(v, dict(zip(names, types, strict=True))[k]) for k, v in columns.items()}
+        return pa.RecordBatch.from_arrays([found[k] if k in found else pa.nulls(many, t) for k, t in zip(names, types, strict=True)], names)
 
     def close(block, docs, slot):
         seen = np.zeros(len(slot), np.int64)
@@ -91,12 +92,12 @@ def _blocks(slim: DataFrame) -> DataFrame:
             if not held:
                 seen += np.bincount(ids, minlength=len(slot))
         yield rows(len(docs), block=[block] * len(docs), _id=[d[0] for d in docs], held=[d[1] for d in docs], n_tokens=[len(d[2]) for d in docs], ids=[_pack(d[2]) for d in docs])
-        words = list(slot)
-        last = _CLASS[np.frombuffer(b"".join([w[-1:] for w in words]), np.uint8)]
+        words = pa.array(list(slot), pa.large_binary())
+        last = _CLASS[np.frombuffer(words.buffers()[2], np.uint8)[np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)[1:] - 1]]
         yield rows(1, block=[block], ids=[zlib.compress(seen.astype("<i8").tobytes() + last.tobytes(), 1)])
         for k in range(0, len(words), 50_000):
-            w = words[k : k + 50_000]
-            yield rows(len(w), block=[block] * len(w), slot=range(k, k + len(w)), word=w, n=seen[k : k + len(w)])
+            w = words[k : k + 50_000].cast(pa.binary())
+            yield rows(len(w), block=np.full(len(w), block), slot=np.arange(k, k + len(w), dtype=np.int32), word=w, n=seen[k : k + len(w)])
 
     def run(batches):
         number = count(TaskContext.get().partitionId() << 32)
@@ -202,13 +203,20 @@ def _follows(coded: DataFrame, leaves: int, workers: int, end: int) -> np.ndarra
     """[class, class before]: how often in all training documents; those before are the most frequent, and one for the others."""
 
     def run(batches):
-        total = np.zeros(leaves * _BEFORE, np.int64)
+        total, pairs, size = np.zeros(leaves * _BEFORE, np.int64), [], 0
         for b in batches:
             for x in b.column(0):
-                w = np.frombuffer(zlib.decompress(x.as_py()), "<u2").astype(np.int64)
-                before = np.minimum(np.concatenate([[end], w[:-1]]), _BEFORE - 1)
-                at, n = np.unique(w * _BEFORE + before, return_counts=True)
-                total[at] += n
+                w = np.frombuffer(zlib.decompress(x.as_py()), "<u2").astype(np.int32)
+                pair = w * _BEFORE
+                pair[0] += min(end, _BEFORE - 1)  # a text has its end at least
+                pair[1:] += np.minimum(w[:-1], _BEFORE - 1)
+                pairs.append(pair)
+                size += len(pair)
+                if size >= _PAIRS:
+                    total += np.bincount(np.concatenate(pairs), minlength=len(total))
+                    pairs, size = [], 0
+        if pairs:
+            total += np.bincount(np.concatenate(pairs), minlength=len(total))
         for k in range(0, leaves, _CHUNK):
             yield _row(k // _CHUNK, _ints(total[k * _BEFORE : (k + _CHUNK) * _BEFORE]))
 

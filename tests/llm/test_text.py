@@ -281,6 +281,28 @@ def test_tree_is_normalised_and_learns():
         assert np.exp(logs[::300]) == pytest.approx([plain_probability(m, two, one, k) for k in range(0, 1500, 300)], rel=1e-3)
 
 
+@pytest.mark.parametrize("shift", [0, 300, -300])
+def test_probabilities_of_any_size(shift):
+    """Scores beyond what exponentials hold, and the way without a maximum a token, give the same probabilities."""
+    rng = np.random.default_rng(4)
+    m = lbltree.Model(rng.integers(1, 50, 1500).astype(float))
+    m.x[:] = rng.normal(size=m.x.shape) * 0.3
+    two, one, to = rng.integers(0, 1500, (3, 5000))
+    want = [math.log(plain_probability(m, two[k], one[k], to[k])) for k in range(0, 5000, 250)]
+    m.b[m.b > -1e29] += shift  # alike for all children, so the softmax is the same
+    got = m.log_probs(two, one, to)
+    assert got[::250] == pytest.approx(want, rel=1e-3, abs=1e-3) and np.isfinite(got).all()
+
+
+def test_scores_take_no_maximum_a_token(monkeypatch):
+    """The usual way: one pass of exponentials a level, whose sums are a product with ones."""
+    m = lbltree.Model(np.arange(1.0, 1501))
+    ids = np.arange(1500)
+    want = m.log_probs(ids, ids, ids)
+    monkeypatch.setattr(lbltree, "_ONES", 2 * lbltree._ONES)
+    assert m.log_probs(ids, ids, ids) == pytest.approx(want - lbltree.LEVELS * math.log(2), abs=1e-4)
+
+
 def test_alike_leaves_are_neighbours():
     follows = np.zeros((200, 8))
     follows[::2, 1], follows[1::2, 5] = 50, 50
